@@ -87,17 +87,18 @@ value_query("random_long", rv.long, "((d>>1)%9223372036854775807::UHUGEINT)::BIG
 value_query("random_long_range", lambda d: rv.long(d, 5, 10**12), "(5+(d>>1)::BIGINT%999999999995)::BIGINT")
 value_query("random_double", lambda d: rv.double(d, -1.5, 2.5), f"-1.5::DOUBLE+{D.unit('d')}*4.0::DOUBLE")
 value_query("random_string", lambda d: rv.string(d, 12),
-            chars_sql(D.bits(D.slot("d", 1)), [rv.ALPHANUMERIC] * 8) + "||"
-            + chars_sql(D.bits(D.slot("d", 2)), [rv.ALPHANUMERIC] * 4))
+            chars_sql(D.bits(D.element("d", 0, "1")), [rv.ALPHANUMERIC] * 8) + "||"
+            + chars_sql(D.bits(D.element("d", 0, "2")), [rv.ALPHANUMERIC] * 4))
 value_query(
     "random_string_between", lambda d: rv.string(d, 3, 21),
     "substr(array_to_string(list_transform(range(1,4), lambda i: "
     + chars_sql(D.bits(D.element(D.slot("d", 1), 0, "i")), [rv.ALPHANUMERIC] * 8)
     + f"),''),1,(3+{D.bits(D.slot('d', 2))}%18)::INT)",
 )
-value_query("random_word", lambda d: rv.word(d, 9), chars_sql(D.bits(D.slot("d", 1)), [rv.VOWELS, rv.CONSONANTS] * 4 + [rv.VOWELS]))
+value_query("random_word", lambda d: rv.word(d, 9),
+            chars_sql(D.bits(D.element("d", 0, "1")), [rv.VOWELS, rv.CONSONANTS] * 4 + [rv.VOWELS]))
 value_query("random_bytes", lambda d: F.hex(rv.random_bytes(d, 20)),
-            f"upper(substr({D.hex64(D.slot('d', 1))}||{D.hex64(D.slot('d', 2))}||{D.hex64(D.slot('d', 3))},1,40))")
+            "upper(substr(" + "||".join(D.hex64(D.element("d", 0, str(i))) for i in (1, 2, 3)) + ",1,40))")
 
 
 def lorem_words(d: str, count: str) -> str:

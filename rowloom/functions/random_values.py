@@ -231,7 +231,7 @@ def string(draw: Column, length: int | Column, max_length: int | None = None) ->
     if isinstance(length, int) and length <= 4 * STRING_BLOCK:
         parts, left, n = [], length, 1
         while left > 0:
-            parts.append(_characters(slot(draw, n), alphabets[: min(left, STRING_BLOCK)]))
+            parts.append(_characters(element(draw, 0, F.lit(n)), alphabets[: min(left, STRING_BLOCK)]))
             left, n = left - STRING_BLOCK, n + 1
         return F.concat(*parts) if parts else F.lit("")
     size = _col(length, "int")
@@ -245,7 +245,7 @@ def word(draw: Column, length: int | Column) -> Column:
     if isinstance(length, int) and length <= 4 * block:
         parts, left, n = [], length, 1
         while left > 0:
-            parts.append(_characters(slot(draw, n), alphabets[: min(left, block)]))
+            parts.append(_characters(element(draw, 0, F.lit(n)), alphabets[: min(left, block)]))
             left, n = left - block, n + 1
         return F.concat(*parts) if parts else F.lit("")
     return _blocks(draw, _col(length, "int"), block, lambda d: _characters(d, alphabets))
@@ -268,7 +268,7 @@ def random_bytes(draw: Column, n: int) -> Column:
         return F.lit(b"")
     blocks = (n + 7) // 8
     if blocks <= 8:
-        text = F.concat(*[_hex64(slot(draw, i)) for i in range(1, blocks + 1)])
+        text = F.concat(*[_hex64(element(draw, 0, F.lit(i))) for i in range(1, blocks + 1)])
     else:
         text = F.array_join(
             F.transform(F.sequence(F.lit(1), F.lit(blocks)), lambda i: _hex64(element(draw, 0, i))), ""

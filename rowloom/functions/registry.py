@@ -51,83 +51,226 @@ def _clock(draw: Column, anchor: str | None = None) -> Column:
     return temporal.time_text(temporal.random_time(draw, start))
 
 
-# SQL bodies see the draw as ``draw``; {…} parts below are spliced in once, here.
-_BITS = "shiftrightunsigned(draw, 12)"
+# SQL bodies see the draw as ``draw``; the helpers below spell out the shared parts.
 
 
-def _slot(n: int) -> str:
-    return f"xxhash64(BIGINT '{n}', draw)"
+def _bits(draw: str = "draw") -> str:
+    return f"shiftrightunsigned({draw}, 12)"
+
+
+def _slot(n: int, draw: str = "draw") -> str:
+    return f"xxhash64({n}L, {draw})"
+
+
+def _element(n: int, index: str, draw: str = "draw") -> str:
+    return f"xxhash64({n}L, {draw}, CAST({index} AS BIGINT))"
 
 
 def _pick(values: list[str], draw: str = "draw") -> str:
     listed = ",".join("'" + v.replace("'", "\\'") + "'" for v in values)
-    return f"element_at(array({listed}), CAST(1 + shiftrightunsigned({draw}, 12) % {len(values)} AS INT))"
+    return f"element_at(array({listed}), CAST(1 + {_bits(draw)} % {len(values)} AS INT))"
+
+
+def _hex(draw: str) -> str:
+    return f"lpad(lower(hex({draw})), 16, '0')"
+
+
+def _upper_first(text: str) -> str:
+    return f"concat(upper(substr({text}, 1, 1)), substr({text}, 2))"
+
+
+def _city(draw: str = "draw") -> str:
+    return _upper_first(_pick(words.CITIES, draw))
+
+
+def _email(draw: str = "draw") -> str:
+    first, last = _pick(words.FIRST_NAMES, _slot(1, draw)), _pick(words.LAST_NAMES, _slot(2, draw))
+    return f"translate(concat(lower({first}), '.', lower({last}), '@example.com'), ' ', '.')"
+
+
+def _phone(draw: str = "draw") -> str:
+    line = f"lpad(CAST(({_bits(draw)} div 810000) % 10000 AS STRING), 4, '0')"
+    return f"concat('(', 100 + {_bits(draw)} % 900, ') ', 100 + ({_bits(draw)} div 900) % 900, '-', {line})"
+
+
+def _zip(draw: str = "draw") -> str:
+    return f"lpad(CAST({_bits(draw)} % 100000 AS STRING), 5, '0')"
+
+
+def _text_blocks(alphabets: list[str], size: str, draw: str = "draw") -> str:
+    """Characters of each block come from one array element's draw, in mixed radix."""
+    parts, used = [], 1
+    for letters in alphabets:
+        place = f"({_bits(_element(0, 'i', draw))} div {used}) % {len(letters)}"
+        parts.append(f"substr('{letters}', CAST(1 + {place} AS INT), 1)")
+        used *= len(letters)
+    blocks = f"greatest(1, ({size} + {len(alphabets) - 1}) div {len(alphabets)})"
+    joined = f"array_join(transform(sequence(1, CAST({blocks} AS INT)), i -> concat({', '.join(parts)})), '')"
+    return f"CASE WHEN {size} > 0 THEN substr({joined}, 1, {size}) ELSE '' END"
 
 
-def _hex(n: int) -> str:
-    return f"lpad(lower(hex({_slot(n)})), 16, '0')"
+def _sentence_words(count: str, draw: str) -> str:
+    chosen = _pick(words.LOREM, _element(0, "w", draw))
+    return (
+        f"CASE WHEN {count} > 0 THEN array_join(transform(sequence(1, CAST(greatest({count}, 1) AS INT)), "
+        f"w -> {chosen}), ' ') ELSE '' END"
+    )
 
 
-_CITY = _pick(words.CITIES)
-_EMAIL = f"concat(lower({_pick(words.FIRST_NAMES, _slot(1))}), '.', lower({_pick(words.LAST_NAMES, _slot(2))}), '@example.com')"
+def _count_between(draw: str) -> str:
+    return f"(CASE WHEN hi <= lo THEN lo ELSE lo + {_bits(draw)} % (hi - lo) END)"
+
+
+def _lorem() -> str:
+    plain = _upper_first(f"({_sentence_words(_count_between(_slot(2)), _slot(1))})")
+    opening = _upper_first(_pick(words.LOREM, _slot(1, "sd")))
+    rest = _sentence_words(f"(2 + {_bits(_slot(3, 'sd'))} % 18)", _slot(2, "sd"))
+    sentences = (
+        f"array_join(transform(transform(sequence(1, CAST(2 + {_bits(_slot(1, 'pd'))} % 5 AS INT)), "
+        f"s -> {_element(2, 's', 'pd')}), sd -> concat({opening}, ' ', {rest}, '. ')), '')"
+    )
+    count = f"CAST(greatest({_count_between(_slot(2))}, 1) AS INT)"
+    body = f"rtrim(array_join(transform(transform(sequence(1, {count}), p -> {_element(3, 'p')}), pd -> {sentences}), '\\n'))"
+    paged = f"CASE WHEN {_count_between(_slot(2))} > 0 THEN {body} ELSE '' END"
+    return f"CASE WHEN paragraphs THEN {paged} ELSE {plain} END"
+
+
+def _json() -> str:
+    address = (
+        f"named_struct('state', {_pick(words.STATES, _slot(1, 'ad'))}, 'stateCode', "
+        f"{_pick(words.STATE_CODES, _slot(2, 'ad'))}, 'city', {_city(_slot(3, 'ad'))}, 'country', "
+        f"{_pick(words.COUNTRIES, _slot(4, 'ad'))}, 'zipCode', {_zip(_slot(5, 'ad'))})"
+    )
+    addresses = f"transform(transform(sequence(1, nesting), j -> {_element(6, 'j', 'ud')}), ad -> {address})"
+    user = (
+        f"named_struct('email', {_email(_slot(1, 'ud'))}, 'firstName', {_pick(words.FIRST_NAMES, _slot(2, 'ud'))}, "
+        f"'lastName', {_pick(words.LAST_NAMES, _slot(3, 'ud'))}, 'telephone', {_phone(_slot(4, 'ud'))}, "
+        f"'userName', lower({_pick(words.FIRST_NAMES, _slot(5, 'ud'))}), 'addresses', {addresses})"
+    )
+    users = f"transform(transform(sequence(1, items), i -> {_element(1, 'i')}), ud -> {user})"
+    return f"to_json(named_struct('users', {users}))"
+
+
+def _uuid() -> str:
+    high, low = _hex(_slot(1)), _hex(_slot(2))
+    variant = f"substr('89ab', CAST(1 + shiftrightunsigned({_slot(2)}, 62) AS INT), 1)"
+    return (
+        f"concat(substr({high}, 1, 8), '-', substr({high}, 9, 4), '-4', substr({high}, 14, 3), '-', {variant}, "
+        f"substr({low}, 2, 3), '-', substr({low}, 5, 12))"
+    )
+
+
+def _signed(n: int, draw: str = "draw") -> str:
+    size = f"({_bits(draw)} div 2) % {n}"
+    return f"CAST(CASE WHEN {_bits(draw)} % 2 = 0 THEN {size} ELSE -({size}) END AS INT)"
+
+
+def _quoted(codes: list[str]) -> str:
+    return ", ".join(f"'{c}'" for c in codes)
+
+
+def _money() -> str:
+    code = f"coalesce(currency, {_pick(words.CURRENCIES, _slot(2))})"
+    cents = f"({_bits(_slot(1))} % 1800)"
+    return (
+        f"concat(CASE WHEN {code} IN ({_quoted(words.NO_DIGIT_CURRENCIES)}) THEN CAST({cents} div 100 AS STRING) "
+        f"WHEN {code} IN ({_quoted(words.THREE_DIGIT_CURRENCIES)}) THEN CAST(CAST({cents} * 0.01BD AS DECIMAL(9,3)) "
+        f"AS STRING) ELSE CAST(CAST({cents} * 0.01BD AS DECIMAL(9,2)) AS STRING) END, ' ', {code})"
+    )
+
+
+_SPAN_DRAW = f"(CASE WHEN longest IS NULL THEN draw ELSE {_slot(1)} END)"
+_SPAN_SIZE = f"CAST(CASE WHEN longest IS NULL THEN length ELSE length + {_bits(_slot(2))} % (longest - length) END AS INT)"
+_TIME_OF_DAY = "(hour(anchor) * 3600 + minute(anchor) * 60 + second(anchor))"
+_NOW = "TIMESTAMP_NTZ DEFAULT localtimestamp()"
 
 ENTRIES = [
     FunctionEntry("randomFirstName", "random", "", "STRING", "a first name", rv.first_name, _pick(words.FIRST_NAMES)),
     FunctionEntry("randomLastName", "random", "", "STRING", "a last name", rv.last_name, _pick(words.LAST_NAMES)),
     FunctionEntry("randomFullName", "random", "", "STRING", "first and last name", rv.full_name,
                   f"concat_ws(' ', {_pick(words.FIRST_NAMES, _slot(1))}, {_pick(words.LAST_NAMES, _slot(2))})"),
-    FunctionEntry("randomCity", "random", "", "STRING", "a city", rv.city,
-                  f"concat(upper(substr({_CITY}, 1, 1)), substr({_CITY}, 2))"),
+    FunctionEntry("randomCity", "random", "", "STRING", "a city", rv.city, _city()),
     FunctionEntry("randomCountry", "random", "", "STRING", "a country", rv.country, _pick(words.COUNTRIES)),
-    FunctionEntry("randomEmail", "random", "", "STRING", "an address at example.com", rv.email,
-                  f"translate({_EMAIL}, ' ', '.')"),
-    FunctionEntry("randomPhoneNumber", "random", "", "STRING", "(ddd) ddd-dddd", rv.phone_number,
-                  f"concat('(', 100 + {_BITS} % 900, ') ', 100 + ({_BITS} div 900) % 900, '-', "
-                  f"lpad(CAST(({_BITS} div 810000) % 10000 AS STRING), 4, '0'))"),
+    FunctionEntry("randomEmail", "random", "", "STRING", "an address at example.com", rv.email, _email()),
+    FunctionEntry("randomPhoneNumber", "random", "", "STRING", "(ddd) ddd-dddd", rv.phone_number, _phone()),
     FunctionEntry("randomState", "random", "", "STRING", "a state", rv.state, _pick(words.STATES)),
     FunctionEntry("randomStateCode", "random", "", "STRING", "a state code", rv.state_code, _pick(words.STATE_CODES)),
-    FunctionEntry("randomZipCode", "random", "", "STRING", "five digits", rv.zip_code,
-                  f"lpad(CAST({_BITS} % 100000 AS STRING), 5, '0')"),
+    FunctionEntry("randomZipCode", "random", "", "STRING", "five digits", rv.zip_code, _zip()),
     FunctionEntry("randomCurrency", "random", "", "STRING", "a currency code", rv.currency, _pick(words.CURRENCIES)),
-    FunctionEntry("randomBigDecimal", "random", "lo, hi, scale", "DECIMAL(38,s)", "uniform decimal in [lo, hi)", rv.decimal),
-    FunctionEntry("randomMoney", "random", "currency", "STRING", "amount and currency code", rv.money_text),
-    FunctionEntry("randomBoolean", "random", "", "BOOLEAN", "a fair coin", rv.boolean, f"{_BITS} % 2 = 0"),
+    FunctionEntry("randomBigDecimal", "random", "lo BIGINT DEFAULT 0, hi BIGINT DEFAULT 18", "DECIMAL(20,2)",
+                  "uniform in [lo, hi) at two digits; specs may also give the scale", rv.decimal,
+                  f"CAST((lo * 100 + {_bits()} % ((hi - lo) * 100)) * 0.01BD AS DECIMAL(20,2))"),
+    FunctionEntry("randomMoney", "random", "currency STRING DEFAULT NULL", "STRING", "amount and currency code",
+                  rv.money_text, _money()),
+    FunctionEntry("randomBoolean", "random", "", "BOOLEAN", "a fair coin", rv.boolean, f"{_bits()} % 2 = 0"),
     FunctionEntry("randomInt", "random", "lo BIGINT DEFAULT 0, hi BIGINT DEFAULT 2147483647", "INT",
-                  "uniform in [lo, hi)", rv.integer, f"CAST(lo + {_BITS} % (hi - lo) AS INT)"),
+                  "uniform in [lo, hi)", rv.integer, f"CAST(lo + {_bits()} % (hi - lo) AS INT)"),
     FunctionEntry("randomLong", "random", "lo BIGINT DEFAULT 0, hi BIGINT DEFAULT 9223372036854775807", "BIGINT",
                   "uniform in [lo, hi)", rv.long, "lo + shiftrightunsigned(draw, 1) % (hi - lo)"),
     FunctionEntry("randomDouble", "random", "lo DOUBLE DEFAULT 0, hi DOUBLE DEFAULT 1.7976931348623157E308D", "DOUBLE",
-                  "uniform in [lo, hi)", rv.double, f"lo + {_BITS} / 4503599627370496.0D * (hi - lo)"),
-    FunctionEntry("randomString", "random", "length, max", "STRING", "letters and digits", rv.string),
-    FunctionEntry("randomWord", "random", "length", "STRING", "vowels and consonants in turn", rv.word),
-    FunctionEntry("randomBytes", "random", "n", "BINARY", "n bytes", rv.random_bytes),
-    FunctionEntry("randomBytesBase64", "random", "n", "STRING", "n bytes as base64", _random_bytes_text),
-    FunctionEntry("randomLoreIpsum", "random", "min, max, paragraphs", "STRING", "filler text", rv.lorem_ipsum),
-    FunctionEntry("randomJson", "random", "items, nesting", "STRING", "a JSON document of users", rv.json_users),
+                  "uniform in [lo, hi)", rv.double, f"lo + {_bits()} / 4503599627370496.0D * (hi - lo)"),
+    FunctionEntry("randomString", "random", "length INT, longest INT DEFAULT NULL", "STRING",
+                  "letters and digits, of one length or of a length in [length, longest)", rv.string,
+                  _text_blocks([rv.ALPHANUMERIC] * rv.STRING_BLOCK, _SPAN_SIZE, _SPAN_DRAW)),
+    FunctionEntry("randomWord", "random", "length INT", "STRING", "vowels and consonants in turn", rv.word,
+                  _text_blocks([rv.VOWELS, rv.CONSONANTS] * rv.WORD_BLOCK_PAIRS, "length")),
+    FunctionEntry("randomBytes", "random", "n INT", "BINARY", "n bytes", rv.random_bytes,
+                  "unhex(substr(array_join(transform(sequence(1, greatest(1, CAST((n + 7) div 8 AS INT))), "
+                  f"i -> {_hex(_element(0, 'i'))}), ''), 1, 2 * n))"),
+    FunctionEntry("randomBytesBase64", "random", "n INT", "STRING", "n bytes as base64", _random_bytes_text,
+                  "regexp_replace(base64(unhex(substr(array_join(transform(sequence(1, greatest(1, CAST((n + 7) div 8 AS INT))), "
+                  f"i -> {_hex(_element(0, 'i'))}), ''), 1, 2 * n))), '[\\r\\n]', '')"),
+    FunctionEntry("randomLoreIpsum", "random", "lo INT, hi INT, paragraphs BOOLEAN DEFAULT false", "STRING",
+                  "filler words or paragraphs", rv.lorem_ipsum, _lorem()),
+    FunctionEntry("randomJson", "random", "items INT, nesting INT", "STRING", "a JSON document of users", rv.json_users,
+                  _json()),
     FunctionEntry("selectRandom", "random", "options ARRAY<STRING>", "STRING", "one of the options", _choice,
-                  f"element_at(options, CAST(1 + {_BITS} % size(options) AS INT))"),
-    FunctionEntry("random", "random", "options", "STRING", "same as selectRandom", _choice),
+                  f"element_at(options, CAST(1 + {_bits()} % size(options) AS INT))"),
+    FunctionEntry("randomOf", "random", "options ARRAY<STRING>", "STRING", "same as selectRandom", _choice,
+                  f"element_at(options, CAST(1 + {_bits()} % size(options) AS INT))"),
     FunctionEntry("randomFact", "random", "", "STRING", "a sentence", rv.fact, _pick(words.FACTS)),
-    FunctionEntry("randomUUID", "id", "", "STRING", "a version 4 identifier", rv.uuid4,
-                  f"concat(substr({_hex(1)}, 1, 8), '-', substr({_hex(1)}, 9, 4), '-4', substr({_hex(1)}, 14, 3), '-', "
-                  f"substr('89ab', CAST(1 + shiftrightunsigned({_slot(2)}, 62) AS INT), 1), substr({_hex(2)}, 2, 3), "
-                  f"'-', substr({_hex(2)}, 5, 12))"),
+    FunctionEntry("randomUUID", "id", "", "STRING", "a version 4 identifier", rv.uuid4, _uuid()),
     FunctionEntry("randomIPv4", "network", "", "STRING", "four octets below 255", rv.ipv4,
-                  f"concat_ws('.', {_BITS} % 255, ({_BITS} div 255) % 255, ({_BITS} div 65025) % 255, "
-                  f"({_BITS} div 16581375) % 255)"),
-    FunctionEntry("randomIPv6", "network", "", "STRING", "eight groups of hex digits", rv.ipv6,
-                  "concat_ws(':', " + ", ".join(f"substr({_hex(1 + g // 4)}, {4 * (g % 4) + 1}, 4)" for g in range(8)) + ")"),
-    FunctionEntry("randomDate", "temporal", "anchor", "DATE", "within 90 days of the anchor", _today),
-    FunctionEntry("randomTime", "temporal", "anchor", "STRING", "within 24 hours of the anchor", _clock),
-    FunctionEntry("randomDateTime", "temporal", "anchor", "TIMESTAMP_NTZ", "within 90 days and 24 hours", _now),
+                  f"concat_ws('.', {_bits()} % 255, ({_bits()} div 255) % 255, ({_bits()} div 65025) % 255, "
+                  f"({_bits()} div 16581375) % 255)"),
+    FunctionEntry("randomIPv6", "network", "", "STRING", "eight groups of hex digits", rv.ipv6, "concat_ws(':', " + ", ".join(
+        f"substr({_hex(_slot(1 + g // 4))}, {4 * (g % 4) + 1}, 4)" for g in range(8)) + ")"),
+    FunctionEntry("randomDate", "temporal", "anchor DATE DEFAULT current_date()", "DATE",
+                  "within 90 days of the anchor", _today, f"date_add(anchor, {_signed(90)})"),
+    FunctionEntry("randomTime", "temporal", f"anchor {_NOW}", "STRING", "within 24 hours of the anchor", _clock,
+                  f"date_format(timestampadd(SECOND, pmod({_TIME_OF_DAY} + {_signed(24)} * 3600, 86400), "
+                  "TIMESTAMP_NTZ '2000-01-01 00:00:00'), 'HH:mm:ss')"),
+    FunctionEntry("randomDateTime", "temporal", f"anchor {_NOW}", "TIMESTAMP_NTZ", "within 90 days and 24 hours", _now,
+                  f"timestampadd(HOUR, {_signed(24, _slot(2))}, timestampadd(DAY, {_signed(90, _slot(1))}, anchor))"),
 ]
 BY_NAME = {e.name.lower(): e for e in ENTRIES}
+BY_NAME["random"] = BY_NAME["randomof"]  # the built-in random() keeps its name in SQL
+
+
+def _cases(table: dict[str, int]) -> str:
+    return " ".join(f"WHEN '{name}' THEN {factor}L" for name, factor in table.items())
+
+
+_MONTHS, _DAYS, _MICROS = _cases(temporal.MONTH_UNITS), _cases(temporal.DAY_UNITS), _cases(temporal.MICRO_UNITS)
+_REFUSED = "raise_error(concat('unit does not fit this type: ', unit))"
+_DAY_MICROS = temporal.DAY_SECONDS * 10**6
 
-# Functions of plain values, written in SQL only; they take no draw.
+# Functions of plain values; they take no draw.
 VALUE_FUNCTIONS = [
     ("currentDate", "temporal", "", "DATE", "current_date()"),
     ("currentTime", "temporal", "", "STRING", "date_format(localtimestamp(), 'HH:mm:ss')"),
     ("currentDateTime", "temporal", "", "TIMESTAMP_NTZ", "localtimestamp()"),
+    ("plusDate", "temporal", "day DATE, amount BIGINT, unit STRING", "DATE",
+     f"CASE WHEN (CASE upper(unit) {_DAYS} END) IS NOT NULL THEN date_add(day, CAST(amount * (CASE upper(unit) {_DAYS} END) "
+     f"AS INT)) WHEN (CASE upper(unit) {_MONTHS} END) IS NOT NULL THEN add_months(day, CAST(amount * (CASE upper(unit) "
+     f"{_MONTHS} END) AS INT)) ELSE {_REFUSED} END"),
+    ("plusTime", "temporal", "seconds BIGINT, amount BIGINT, unit STRING", "BIGINT",
+     f"pmod(seconds * 1000000L + amount * (CASE upper(unit) {_MICROS} ELSE {_REFUSED} END), {_DAY_MICROS}L) div 1000000L"),
+    ("plusDateTime", "temporal", "moment TIMESTAMP_NTZ, amount BIGINT, unit STRING", "TIMESTAMP_NTZ",
+     f"CASE WHEN (CASE upper(unit) {_DAYS} END) IS NOT NULL THEN timestampadd(DAY, CAST(amount * (CASE upper(unit) {_DAYS} "
+     f"END) AS INT), moment) WHEN (CASE upper(unit) {_MONTHS} END) IS NOT NULL THEN timestampadd(MONTH, CAST(amount * "
+     f"(CASE upper(unit) {_MONTHS} END) AS INT), moment) WHEN (CASE upper(unit) {_MICROS} END) IS NOT NULL THEN "
+     f"timestampadd(MICROSECOND, amount * (CASE upper(unit) {_MICROS} END), moment) ELSE {_REFUSED} END"),
     ("lowerCase", "text", "s STRING", "STRING", "lower(s)"),
     ("upperCase", "text", "s STRING", "STRING", "upper(s)"),
     ("capitalize", "text", "s STRING", "STRING", "concat(upper(substr(s, 1, 1)), substr(s, 2))"),
@@ -137,7 +280,7 @@ VALUE_FUNCTIONS = [
     ("drawSlot", "random", "draw BIGINT, n BIGINT", "BIGINT", "xxhash64(n, draw)"),
     ("uniqueRowId", "id", "row BIGINT", "BIGINT", "row + 1"),
     ("unorderedUniqueRowId", "id", "row BIGINT", "BIGINT",
-     "(row div 2147483647) * 2147483648 + ((row % 2147483647) * 1103515245) % 2147483647"),
+     "(row div 2147483647) * 2147483648L + ((row % 2147483647) * 1103515245) % 2147483647"),
 ]
 
 
