@@ -64,14 +64,37 @@ def euler() -> Column:
     return F.e()
 
 
+def half_even_quotient(numerator: Column, denominator: Column) -> Column:
+    """Whole-number quotient rounded half-even, exact up to 32 digits; both sides hold whole numbers.
+
+    The remainder decides the rounding, so nothing is rounded twice.
+    """
+    whole = "decimal(38,0)"
+    rest = (numerator % denominator).cast(whole)
+    base = ((numerator - rest).cast(whole) / denominator).cast(whole)
+    twice, size = F.abs(rest) * 2, F.abs(denominator)
+    away = F.when((rest < 0) == (denominator < 0), F.lit(1)).otherwise(F.lit(-1))
+    up = (twice > size) | ((twice == size) & (base % 2 != 0))
+    return F.when(up, base + away).otherwise(base).cast(whole)
+
+
 def divide_keep_scale(df: DataFrame, left: str, right: str) -> Column:
-    """Decimal division rounded half-even to the scale of the left operand."""
-    kind = df.schema[left].dataType
-    if not isinstance(kind, DecimalType):
-        raise ValueError(f"{left} is not a decimal column")
-    width = kind.precision - kind.scale
-    wide = F.col(left).cast(DecimalType(38, min(37 - width, kind.scale + 12)))
-    return F.bround(wide / F.col(right), kind.scale).cast(DecimalType(min(38, width + kind.scale + 6), kind.scale))
+    """Decimal division rounded half-even to the scale of the left operand.
+
+    Precisions of the operands may add up to 32 digits; a zero divisor raises.
+    """
+    kinds = [df.schema[c].dataType for c in (left, right)]
+    if not all(isinstance(k, DecimalType) for k in kinds):
+        raise ValueError(f"{left} and {right} must be decimal columns")
+    (lp, ls), (rp, rs) = [(k.precision, k.scale) for k in kinds]
+    top = F.col(left).cast(DecimalType(38, ls)) * F.lit(Decimal(10 ** (ls + rs))).cast(DecimalType(ls + rs + 1, 0))
+    bottom = F.col(right) * F.lit(Decimal(10**rs)).cast(DecimalType(rs + 1, 0))
+    units = half_even_quotient(top.cast("decimal(38,0)"), bottom.cast("decimal(38,0)"))
+    width = min(38, lp + rs + 1)
+    if ls == 0:
+        return units.cast(DecimalType(width, 0))
+    unit = F.lit(Decimal(1).scaleb(-ls)).cast(DecimalType(ls, ls))
+    return (units.cast(DecimalType(37 - ls, 0)) * unit).cast(DecimalType(width, ls))
 
 
 def integer_power(base: Column, exponent: int, kind: str) -> Column:
