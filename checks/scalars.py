@@ -52,8 +52,8 @@ def random_datetime(t: Tables):
 
 @check("current_values")
 def current_values(t: Tables):
-    return t.nation.select(
-        "n_nationkey", T.current_date().alias("day"), T.time_text(T.current_time()).alias("clock"),
+    return t.customer.select(
+        "c_custkey", T.current_date().alias("day"), T.time_text(T.current_time()).alias("clock"),
         T.current_datetime().alias("moment"),
     )
 
@@ -299,12 +299,12 @@ def if_then_else(t: Tables):
 
 @check(
     "literals",
-    """SELECT n_nationkey, 1.5::DECIMAL(2,1) AS number, true AS flag, 'abc' AS text, DATE '2021-01-01' AS day,
-       43205::BIGINT AS clock, TIMESTAMP '2021-01-01 12:00:05' AS moment FROM nation""",
+    """SELECT c_custkey, 1.5::DECIMAL(2,1) AS number, true AS flag, 'abc' AS text, DATE '2021-01-01' AS day,
+       43205::BIGINT AS clock, TIMESTAMP '2021-01-01 12:00:05' AS moment FROM customer""",
 )
 def literals(t: Tables):
-    return t.nation.select(
-        "n_nationkey", F.lit(Decimal("1.5")).alias("number"), F.lit(True).alias("flag"), F.lit("abc").alias("text"),
+    return t.customer.select(
+        "c_custkey", F.lit(Decimal("1.5")).alias("number"), F.lit(True).alias("flag"), F.lit("abc").alias("text"),
         F.lit(dt.date(2021, 1, 1)).alias("day"), F.lit(T.parse_time("12:00:05")).cast("bigint").alias("clock"),
         F.expr("timestamp_ntz'2021-01-01 12:00:05'").alias("moment"),
     )
