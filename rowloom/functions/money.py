@@ -6,10 +6,13 @@ operation ends with ``rescale`` so the value is always at currency scale.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rowloom.functions.dictionaries import NO_DIGIT_CURRENCIES, THREE_DIGIT_CURRENCIES
+from rowloom.functions.scalar import half_even_quotient
 
 AMOUNT = "decimal(38,4)"
 QUOTIENT_DIGITS = 16
@@ -91,14 +94,18 @@ def _half_even(value: Column, currency: Column) -> Column:
     )
 
 
-def _quotient(amount: Column, divisor: Column) -> Column:
-    """Division carried to 16 digits, half-even."""
-    exact = amount.cast("decimal(18,4)").cast("decimal(38,20)") / divisor.cast("decimal(9,0)")
-    return F.bround(exact.cast("decimal(38,18)"), QUOTIENT_DIGITS)
+def money_divide_round(amount: Column, currency: Column, divisor: Column) -> Column:
+    """Division carried to 16 digits half-even, then half-even to currency scale; amounts up to 18 digits."""
+    shift = F.lit(Decimal(10**QUOTIENT_DIGITS)).cast("decimal(17,0)")
+    units = (amount.cast("decimal(18,4)") * shift).cast("decimal(38,0)")
+    carried = half_even_quotient(units, divisor.cast("decimal(9,0)"))
 
+    def at(digits: int) -> Column:
+        step = F.lit(Decimal(10 ** (QUOTIENT_DIGITS - digits)))
+        whole = half_even_quotient(carried, step).cast("decimal(30,0)")
+        return (whole * F.lit(Decimal(1).scaleb(-digits))).cast(AMOUNT)
 
-def money_divide_round(amount: Column, currency: Column, divisor: Column) -> Column:
-    return _half_even(_quotient(amount, divisor), currency)
+    return _by_digits(currency, at(0), at(3), at(2))
 
 
 def money_divide(amount: Column, currency: Column, divisor: Column) -> Column:
