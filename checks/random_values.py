@@ -86,15 +86,22 @@ value_query("random_int_default", rv.integer, f"({D.bits('d')}%2147483647)::INTE
 value_query("random_long", rv.long, "((d>>1)%9223372036854775807::UHUGEINT)::BIGINT")
 value_query("random_long_range", lambda d: rv.long(d, 5, 10**12), "(5+(d>>1)::BIGINT%999999999995)::BIGINT")
 value_query("random_double", lambda d: rv.double(d, -1.5, 2.5), f"-1.5::DOUBLE+{D.unit('d')}*4.0::DOUBLE")
-value_query("random_string", lambda d: rv.string(d, 12),
-            chars_sql(D.bits(D.element("d", 0, "1")), [rv.ALPHANUMERIC] * 8) + "||"
-            + chars_sql(D.bits(D.element("d", 0, "2")), [rv.ALPHANUMERIC] * 4))
-value_query(
-    "random_string_between", lambda d: rv.string(d, 3, 21),
-    "substr(array_to_string(list_transform(range(1,4), lambda i: "
-    + chars_sql(D.bits(D.element(D.slot("d", 1), 0, "i")), [rv.ALPHANUMERIC] * 8)
-    + f"),''),1,(3+{D.bits(D.slot('d', 2))}%18)::INT)",
-)
+
+
+def string_sql(source: str, groups: int, size: str) -> str:
+    """Base 64 of three hashes per group without its two symbols; short texts are filled up."""
+    spelled = "||".join(D.hex64(D.element(source, 0, str(i))) for i in range(1, 3 * groups + 1))
+    filler = chars_sql(D.bits(D.slot(source, 9)), [rv.ALPHANUMERIC] * 8)
+    return (
+        f"list_transform([replace(replace(to_base64(unhex({spelled})),'+',''),'/','')], lambda t: "
+        f"CASE WHEN length(t) >= {size} THEN substr(t,1,{size}) ELSE rpad(t,{size},{filler}) END)[1]"
+    )
+
+
+value_query("random_string", lambda d: rv.string(d, 12), string_sql("d", 1, "12"))
+value_query("random_string_long", lambda d: rv.string(d, 60), string_sql("d", 3, "60"))
+value_query("random_string_between", lambda d: rv.string(d, 3, 41),
+            string_sql(D.slot("d", 1), 2, f"(3+{D.bits(D.slot('d', 2))}%38)::INT"))
 value_query("random_word", lambda d: rv.word(d, 9),
             chars_sql(D.bits(D.element("d", 0, "1")), [rv.VOWELS, rv.CONSONANTS] * 4 + [rv.VOWELS]))
 value_query("random_bytes", lambda d: F.hex(rv.random_bytes(d, 20)),

@@ -24,6 +24,8 @@ ALPHANUMERIC = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 VOWELS = "aeiou"
 CONSONANTS = "bcdfghjklmnpqrstvwxyz"
 STRING_BLOCK = 8
+STRING_GROUP = 28  # characters counted on from three draws, which spell 32
+STRING_UNROLLED = 20
 WORD_BLOCK_PAIRS = 6
 DECIMAL_CHUNK = 10**15
 CHOICE_TREE_LIMIT = 128
@@ -224,18 +226,27 @@ def _characters(draw: Column, alphabets: Sequence[str]) -> Column:
 
 
 def string(draw: Column, length: int | Column, max_length: int | None = None) -> Column:
-    """Letters and digits: exact length, or length uniform in [length, max_length)."""
+    """Letters and digits: exact length, or length uniform in [length, max_length).
+
+    Random bytes are spelled in base 64 and the two symbols that are neither
+    letter nor digit are dropped, which keeps the rest uniform. Enough bytes
+    are drawn that running short is rare; a short text is filled from an
+    independent block.
+    """
     if max_length is not None:
-        return string(slot(draw, 1), integer(slot(draw, 2), length, max_length))
-    alphabets = [ALPHANUMERIC] * STRING_BLOCK
-    if isinstance(length, int) and length <= 4 * STRING_BLOCK:
-        parts, left, n = [], length, 1
-        while left > 0:
-            parts.append(_characters(element(draw, 0, F.lit(n)), alphabets[: min(left, STRING_BLOCK)]))
-            left, n = left - STRING_BLOCK, n + 1
-        return F.concat(*parts) if parts else F.lit("")
-    size = _col(length, "int")
-    return _blocks(draw, size, STRING_BLOCK, lambda d: _characters(d, alphabets))
+        source, size = slot(draw, 1), integer(slot(draw, 2), length, max_length)
+        groups = (max_length - 1) // STRING_GROUP + 1
+    else:
+        source, size = draw, _col(length, "int")
+        groups = length // STRING_GROUP + 1 if isinstance(length, int) else int_div(size, STRING_GROUP) + 1
+    if isinstance(groups, int) and groups <= STRING_UNROLLED:
+        spelled = F.concat(*[_hex64(element(source, 0, F.lit(i))) for i in range(1, 3 * groups + 1)])
+    else:
+        last = (groups if isinstance(groups, Column) else F.lit(groups)).cast("int") * 3
+        spelled = F.array_join(F.transform(F.sequence(F.lit(1), last), lambda i: _hex64(element(source, 0, i))), "")
+    text = F.translate(F.base64(F.unhex(spelled)), "+/\r\n", "")
+    filler = _characters(slot(source, 9), [ALPHANUMERIC] * STRING_BLOCK)
+    return F.when(F.length(text) >= size, F.substr(text, F.lit(1), size)).otherwise(F.rpad(text, size, filler))
 
 
 def word(draw: Column, length: int | Column) -> Column:
@@ -259,7 +270,7 @@ def _blocks(draw: Column, size: Column, block: int, make) -> Column:
 
 
 def _hex64(draw: Column) -> Column:
-    return F.lpad(F.lower(F.hex(draw)), 16, "0")
+    return F.lpad(F.hex(draw), 16, "0")
 
 
 def random_bytes(draw: Column, n: int) -> Column:
@@ -345,7 +356,7 @@ def json_users(draw: Column, items: int, nesting: int) -> Column:
 
 
 def uuid4(draw: Column) -> Column:
-    high, low = _hex64(slot(draw, 1)), _hex64(slot(draw, 2))
+    high, low = F.lower(_hex64(slot(draw, 1))), F.lower(_hex64(slot(draw, 2)))
     variant = F.substr(F.lit("89ab"), (F.shiftrightunsigned(slot(draw, 2), 62) + 1).cast("int"), F.lit(1))
     return F.concat(
         F.substring(high, 1, 8), F.lit("-"), F.substring(high, 9, 4), F.lit("-4"), F.substring(high, 14, 3),
@@ -358,7 +369,7 @@ def ipv4(draw: Column) -> Column:
 
 
 def ipv6(draw: Column) -> Column:
-    text = F.concat(_hex64(slot(draw, 1)), _hex64(slot(draw, 2)))
+    text = F.lower(F.concat(_hex64(slot(draw, 1)), _hex64(slot(draw, 2))))
     return F.concat_ws(":", *[F.substring(text, 4 * g + 1, 4) for g in range(8)])
 
 

@@ -97,16 +97,30 @@ def _zip(draw: str = "draw") -> str:
     return f"lpad(CAST({_bits(draw)} % 100000 AS STRING), 5, '0')"
 
 
-def _text_blocks(alphabets: list[str], size: str, draw: str = "draw") -> str:
+def _text_blocks(alphabets: list[str], size: str) -> str:
     """Characters of each block come from one array element's draw, in mixed radix."""
+    blocks = f"greatest(1, ({size} + {len(alphabets) - 1}) div {len(alphabets)})"
+    letters = _letters(alphabets, _element(0, "i"))
+    joined = f"array_join(transform(sequence(1, CAST({blocks} AS INT)), i -> {letters}), '')"
+    return f"CASE WHEN {size} > 0 THEN substr({joined}, 1, {size}) ELSE '' END"
+
+
+def _letters(alphabets: list[str], draw: str) -> str:
     parts, used = [], 1
     for letters in alphabets:
-        place = f"({_bits(_element(0, 'i', draw))} div {used}) % {len(letters)}"
-        parts.append(f"substr('{letters}', CAST(1 + {place} AS INT), 1)")
+        parts.append(f"substr('{letters}', CAST(1 + ({_bits(draw)} div {used}) % {len(letters)} AS INT), 1)")
         used *= len(letters)
-    blocks = f"greatest(1, ({size} + {len(alphabets) - 1}) div {len(alphabets)})"
-    joined = f"array_join(transform(sequence(1, CAST({blocks} AS INT)), i -> concat({', '.join(parts)})), '')"
-    return f"CASE WHEN {size} > 0 THEN substr({joined}, 1, {size}) ELSE '' END"
+    return f"concat({', '.join(parts)})"
+
+
+def _string() -> str:
+    source = f"(CASE WHEN longest IS NULL THEN draw ELSE {_slot(1)} END)"
+    size = f"CAST(CASE WHEN longest IS NULL THEN length ELSE length + {_bits(_slot(2))} % (longest - length) END AS INT)"
+    groups = f"((CASE WHEN longest IS NULL THEN length ELSE longest - 1 END) div {rv.STRING_GROUP} + 1)"
+    spelled = f"array_join(transform(sequence(1, CAST(3 * {groups} AS INT)), i -> {_hex(_element(0, 'i', source))}), '')"
+    text = f"translate(base64(unhex({spelled})), '+/\\r\\n', '')"
+    filler = _letters([rv.ALPHANUMERIC] * rv.STRING_BLOCK, _slot(9, source))
+    return f"CASE WHEN length({text}) >= {size} THEN substr({text}, 1, {size}) ELSE rpad({text}, {size}, {filler}) END"
 
 
 def _sentence_words(count: str, draw: str) -> str:
@@ -179,8 +193,6 @@ def _money() -> str:
     )
 
 
-_SPAN_DRAW = f"(CASE WHEN longest IS NULL THEN draw ELSE {_slot(1)} END)"
-_SPAN_SIZE = f"CAST(CASE WHEN longest IS NULL THEN length ELSE length + {_bits(_slot(2))} % (longest - length) END AS INT)"
 _TIME_OF_DAY = "(hour(anchor) * 3600 + minute(anchor) * 60 + second(anchor))"
 _NOW = "TIMESTAMP_NTZ DEFAULT localtimestamp()"
 
@@ -210,8 +222,7 @@ ENTRIES = [
     FunctionEntry("randomDouble", "random", "lo DOUBLE DEFAULT 0, hi DOUBLE DEFAULT 1.7976931348623157E308D", "DOUBLE",
                   "uniform in [lo, hi)", rv.double, f"lo + {_bits()} / 4503599627370496.0D * (hi - lo)"),
     FunctionEntry("randomString", "random", "length INT, longest INT DEFAULT NULL", "STRING",
-                  "letters and digits, of one length or of a length in [length, longest)", rv.string,
-                  _text_blocks([rv.ALPHANUMERIC] * rv.STRING_BLOCK, _SPAN_SIZE, _SPAN_DRAW)),
+                  "letters and digits, of one length or of a length in [length, longest)", rv.string, _string()),
     FunctionEntry("randomWord", "random", "length INT", "STRING", "vowels and consonants in turn", rv.word,
                   _text_blocks([rv.VOWELS, rv.CONSONANTS] * rv.WORD_BLOCK_PAIRS, "length")),
     FunctionEntry("randomBytes", "random", "n INT", "BINARY", "n bytes", rv.random_bytes,
