@@ -91,11 +91,8 @@ value_query("random_double", lambda d: rv.double(d, -1.5, 2.5), f"-1.5::DOUBLE+{
 def string_sql(source: str, groups: int, size: str) -> str:
     """Base 64 of three hashes per group without its two symbols; short texts are filled up."""
     spelled = "||".join(D.hex64(D.element(source, 0, str(i))) for i in range(1, 3 * groups + 1))
-    filler = chars_sql(D.bits(D.slot(source, 9)), [rv.ALPHANUMERIC] * 8)
-    return (
-        f"list_transform([replace(replace(to_base64(unhex({spelled})),'+',''),'/','')], lambda t: "
-        f"CASE WHEN length(t) >= {size} THEN substr(t,1,{size}) ELSE rpad(t,{size},{filler}) END)[1]"
-    )
+    text = f"replace(replace(to_base64(unhex({spelled})),'+',''),'/','')"
+    return f"rpad({text},{size},{D.hex64(D.slot(source, 9))})"
 
 
 value_query("random_string", lambda d: rv.string(d, 12), string_sql("d", 1, "12"))

@@ -138,7 +138,7 @@ def fact(draw: Column) -> Column:
 
 def email(draw: Column) -> Column:
     local = F.concat(F.lower(first_name(slot(draw, 1))), F.lit("."), F.lower(last_name(slot(draw, 2))))
-    return F.translate(F.concat(local, F.lit("@example.com")), " ", ".")
+    return F.replace(F.concat(local, F.lit("@example.com")), F.lit(" "), F.lit("."))
 
 
 def phone_number(draw: Column) -> Column:
@@ -244,9 +244,10 @@ def string(draw: Column, length: int | Column, max_length: int | None = None) ->
     else:
         last = (groups if isinstance(groups, Column) else F.lit(groups)).cast("int") * 3
         spelled = F.array_join(F.transform(F.sequence(F.lit(1), last), lambda i: _hex64(element(source, 0, i))), "")
-    text = F.translate(F.base64(F.unhex(spelled)), "+/\r\n", "")
-    filler = _characters(slot(source, 9), [ALPHANUMERIC] * STRING_BLOCK)
-    return F.when(F.length(text) >= size, F.substr(text, F.lit(1), size)).otherwise(F.rpad(text, size, filler))
+    text = F.base64(F.unhex(spelled))
+    for symbol in ("+", "/", "\r\n"):
+        text = F.replace(text, F.lit(symbol), F.lit(""))
+    return F.rpad(text, size, F.hex(slot(source, 9)))
 
 
 def word(draw: Column, length: int | Column) -> Column:

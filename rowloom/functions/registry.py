@@ -85,7 +85,7 @@ def _city(draw: str = "draw") -> str:
 
 def _email(draw: str = "draw") -> str:
     first, last = _pick(words.FIRST_NAMES, _slot(1, draw)), _pick(words.LAST_NAMES, _slot(2, draw))
-    return f"translate(concat(lower({first}), '.', lower({last}), '@example.com'), ' ', '.')"
+    return f"replace(concat(lower({first}), '.', lower({last}), '@example.com'), ' ', '.')"
 
 
 def _phone(draw: str = "draw") -> str:
@@ -118,9 +118,8 @@ def _string() -> str:
     size = f"CAST(CASE WHEN longest IS NULL THEN length ELSE length + {_bits(_slot(2))} % (longest - length) END AS INT)"
     groups = f"((CASE WHEN longest IS NULL THEN length ELSE longest - 1 END) div {rv.STRING_GROUP} + 1)"
     spelled = f"array_join(transform(sequence(1, CAST(3 * {groups} AS INT)), i -> {_hex(_element(0, 'i', source))}), '')"
-    text = f"translate(base64(unhex({spelled})), '+/\\r\\n', '')"
-    filler = _letters([rv.ALPHANUMERIC] * rv.STRING_BLOCK, _slot(9, source))
-    return f"CASE WHEN length({text}) >= {size} THEN substr({text}, 1, {size}) ELSE rpad({text}, {size}, {filler}) END"
+    text = f"replace(replace(replace(base64(unhex({spelled})), '+', ''), '/', ''), '\\r\\n', '')"
+    return f"rpad({text}, {size}, hex({_slot(9, source)}))"
 
 
 def _sentence_words(count: str, draw: str) -> str:
