@@ -88,17 +88,23 @@ value_query("random_long_range", lambda d: rv.long(d, 5, 10**12), "(5+(d>>1)::BI
 value_query("random_double", lambda d: rv.double(d, -1.5, 2.5), f"-1.5::DOUBLE+{D.unit('d')}*4.0::DOUBLE")
 
 
-def string_sql(source: str, groups: int, size: str) -> str:
-    """Base 64 of three hashes per group without its two symbols; short texts are filled up."""
-    spelled = "||".join(D.hex64(D.element(source, 0, str(i))) for i in range(1, 3 * groups + 1))
-    text = f"replace(replace(to_base64(unhex({spelled})),'+',''),'/','')"
-    return f"rpad({text},{size},{D.hex64(D.slot(source, 9))})"
+def string_sql(draw: str, length: int) -> str:
+    blocks = [min(8, length - i) for i in range(0, length, 8)]
+    return "||".join(
+        chars_sql(D.bits(D.element(draw, 0, str(i))), [rv.ALPHANUMERIC] * n) for i, n in enumerate(blocks, 1)
+    )
 
 
-value_query("random_string", lambda d: rv.string(d, 12), string_sql("d", 1, "12"))
-value_query("random_string_long", lambda d: rv.string(d, 60), string_sql("d", 3, "60"))
-value_query("random_string_between", lambda d: rv.string(d, 3, 41),
-            string_sql(D.slot("d", 1), 2, f"(3+{D.bits(D.slot('d', 2))}%38)::INT"))
+value_query("random_string", lambda d: rv.string(d, 12), string_sql("d", 12))
+value_query(
+    "random_string_long", lambda d: rv.string(d, 150),
+    "rpad(replace(replace(to_base64(unhex(" + "||".join(f"sha256({D.bits('d')}||'|{i}')" for i in range(1, 7))
+    + f")),'+',''),'/',''),150,{D.hex64(D.slot('d', 9))})",
+)
+value_query(
+    "random_string_between", lambda d: rv.string(d, 3, 21),
+    "substr(" + string_sql(D.slot("d", 1), 24) + f",1,(3+{D.bits(D.slot('d', 2))}%18)::INT)",
+)
 value_query("random_word", lambda d: rv.word(d, 9),
             chars_sql(D.bits(D.element("d", 0, "1")), [rv.VOWELS, rv.CONSONANTS] * 4 + [rv.VOWELS]))
 value_query("random_bytes", lambda d: F.hex(rv.random_bytes(d, 20)),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rowloom.draws import below, bits, digits, element, int_div, slot, unit
 from rowloom.functions import dictionaries as words
+from rowloom.functions.scalar import to_base64
 
 INT_BOUND = 2**31 - 1
 LONG_BOUND = 2**63 - 1
@@ -23,10 +24,11 @@ DECIMAL_DEFAULT = (0, 18, 2)
 ALPHANUMERIC = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 VOWELS = "aeiou"
 CONSONANTS = "bcdfghjklmnpqrstvwxyz"
-STRING_BLOCK = 8
-STRING_GROUP = 28  # characters counted on from three draws, which spell 32
-STRING_UNROLLED = 20
-WORD_BLOCK_PAIRS = 6
+STRING_PAIRS = 4
+WORD_PAIRS = 6
+SHORT_TEXT = 64  # up to here strings are put together from letter pairs
+DIGEST_LETTERS = 108
+UNROLLED_DIGEST_LETTERS = 1024
 DECIMAL_CHUNK = 10**15
 CHOICE_TREE_LIMIT = 128
 
@@ -219,55 +221,67 @@ def money_text(draw: Column, currency_code: Column | str | None = None) -> Colum
 # -- text ----------------------------------------------------------------------
 
 
-def _characters(draw: Column, alphabets: Sequence[str]) -> Column:
-    """Fixed-length text, one character per alphabet, from a single draw."""
-    places = digits(draw, [len(a) for a in alphabets])
-    return F.concat(*[F.substr(F.lit(a), (p + 1).cast("int"), F.lit(1)) for a, p in zip(alphabets, places)])
+def pair_table(first: str, second: str) -> str:
+    """All two-letter texts, space separated, the first letter running fastest."""
+    return " ".join(a + b for b in second for a in first)
 
 
-def string(draw: Column, length: int | Column, max_length: int | None = None) -> Column:
-    """Letters and digits: exact length, or length uniform in [length, max_length).
+def _pairs(draw: Column, first: str, second: str, count: int) -> Column:
+    """``count`` two-letter texts from one draw, looked up in a table the planner folds to a literal."""
+    table, size = F.split(F.lit(pair_table(first, second)), " "), len(first) * len(second)
+    return F.concat(*[F.element_at(table, (p + 1).cast("int")) for p in digits(draw, [size] * count)])
+
+
+def _paired_text(draw: Column, length: int, first: str, second: str, pairs: int) -> Column:
+    """Text of a known length, ``pairs`` two-letter texts per draw, all in generated code."""
+    if length <= 0:
+        return F.lit("")
+    block, blocks = 2 * pairs, -(-length // (2 * pairs))
+    counts = [pairs] * (blocks - 1) + [-(-(length - (blocks - 1) * block) // 2)]
+    text = F.concat(*[_pairs(element(draw, 0, F.lit(i)), first, second, n) for i, n in enumerate(counts, 1)])
+    return F.substring(text, 1, length) if length % 2 else text
+
+
+def _digest_text(draw: Column, bound: int | Column, size: Column) -> Column:
+    """Longer letters-and-digits text from few expressions.
 
-    Random bytes are spelled in base 64 and the two symbols that are neither
-    letter nor digit are dropped, which keeps the rest uniform. Enough bytes
-    are drawn that running short is rare; a short text is filled from an
-    independent block.
+    SHA-256 digests of the draw are spelled in base 64 and the two symbols are
+    dropped, which keeps the letters uniform. Three digests give 128 symbols
+    and are counted on for 108 letters, so running short is rare; a short text
+    is then filled from another draw.
     """
-    if max_length is not None:
-        source, size = slot(draw, 1), integer(slot(draw, 2), length, max_length)
-        groups = (max_length - 1) // STRING_GROUP + 1
-    else:
-        source, size = draw, _col(length, "int")
-        groups = length // STRING_GROUP + 1 if isinstance(length, int) else int_div(size, STRING_GROUP) + 1
-    if isinstance(groups, int) and groups <= STRING_UNROLLED:
-        spelled = F.concat(*[_hex64(element(source, 0, F.lit(i))) for i in range(1, 3 * groups + 1)])
+    stem = F.concat(bits(draw).cast("string"), F.lit("|"))
+    if isinstance(bound, int) and bound <= UNROLLED_DIGEST_LETTERS:
+        count = 3 * (bound // DIGEST_LETTERS + 1)
+        spelled = F.concat(*[F.sha2(F.concat(stem, F.lit(str(i))), 256) for i in range(1, count + 1)])
     else:
-        last = (groups if isinstance(groups, Column) else F.lit(groups)).cast("int") * 3
-        spelled = F.array_join(F.transform(F.sequence(F.lit(1), last), lambda i: _hex64(element(source, 0, i))), "")
-    text = F.base64(F.unhex(spelled))
-    for symbol in ("+", "/", "\r\n"):
+        groups = F.lit(bound // DIGEST_LETTERS + 1) if isinstance(bound, int) else int_div(bound, DIGEST_LETTERS) + 1
+        indexes = F.sequence(F.lit(1), (groups * 3).cast("int"))
+        spelled = F.array_join(F.transform(indexes, lambda i: F.sha2(F.concat(stem, i.cast("string")), 256)), "")
+    text = to_base64(F.unhex(spelled))
+    for symbol in ("+", "/"):
         text = F.replace(text, F.lit(symbol), F.lit(""))
-    return F.rpad(text, size, F.hex(slot(source, 9)))
+    return F.rpad(text, size, F.hex(slot(draw, 9)))
 
 
-def word(draw: Column, length: int | Column) -> Column:
+def string(draw: Column, length: int | Column, max_length: int | None = None) -> Column:
+    """Letters and digits: exact length, or length uniform in [length, max_length)."""
+    bound, source, size = length, draw, None
+    if max_length is not None:
+        bound, source, size = max_length - 1, slot(draw, 1), integer(slot(draw, 2), length, max_length)
+    if isinstance(bound, int):
+        if bound > SHORT_TEXT:
+            return _digest_text(source, bound, F.lit(bound) if size is None else size)
+        text = _paired_text(source, bound, ALPHANUMERIC, ALPHANUMERIC, STRING_PAIRS)
+        return text if size is None else F.substr(text, F.lit(1), size)
+    size = bound.cast("int")
+    short = _paired_text(source, SHORT_TEXT, ALPHANUMERIC, ALPHANUMERIC, STRING_PAIRS)
+    return F.when(size <= SHORT_TEXT, F.substr(short, F.lit(1), size)).otherwise(_digest_text(source, size, size))
+
+
+def word(draw: Column, length: int) -> Column:
     """Alternating vowels and consonants, vowel first."""
-    alphabets = [VOWELS, CONSONANTS] * WORD_BLOCK_PAIRS
-    block = len(alphabets)
-    if isinstance(length, int) and length <= 4 * block:
-        parts, left, n = [], length, 1
-        while left > 0:
-            parts.append(_characters(element(draw, 0, F.lit(n)), alphabets[: min(left, block)]))
-            left, n = left - block, n + 1
-        return F.concat(*parts) if parts else F.lit("")
-    return _blocks(draw, _col(length, "int"), block, lambda d: _characters(d, alphabets))
-
-
-def _blocks(draw: Column, size: Column, block: int, make) -> Column:
-    last = int_div(size + (block - 1), block)
-    indexes = F.sequence(F.lit(1).cast("bigint"), F.greatest(last, F.lit(1).cast("bigint")))
-    text = F.array_join(F.transform(indexes, lambda i: make(element(draw, 0, i))), "")
-    return F.when(size > 0, F.substr(text, F.lit(1), size)).otherwise(F.lit(""))
+    return _paired_text(draw, length, VOWELS, CONSONANTS, WORD_PAIRS)
 
 
 def _hex64(draw: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
@@ -33,8 +33,11 @@ def trim(text: Column, lower_all: bool = False) -> Column:
 
 
 def to_base64(data: Column) -> Column:
-    """Standard alphabet without line breaks, whatever the session says about chunking."""
-    return F.regexp_replace(F.base64(data), "[\r\n]", "")
+    """Standard alphabet without line breaks, also in a session that breaks lines."""
+    text = F.base64(data)
+    if SparkSession.active().conf.get("spark.sql.chunkBase64String.enabled", "true") == "false":
+        return text
+    return F.replace(text, F.lit("\r\n"), F.lit(""))
 
 
 def from_base64(text: Column) -> Column:

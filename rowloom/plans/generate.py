@@ -42,21 +42,27 @@ def project(
     existing table in ``parent_tables`` is a positional lookup.
     """
     row, out = F.col(ROW), index.select(ROW)
+    ready: dict[str, Column] = {}
     for column in spec.columns:
         label = f"{spec.qualified_name}.{column.name}"
+        if column.kind in ("foreign_key", "expression"):
+            # These may look at the columns before them, so those come first.
+            out, ready = out.withColumns(ready) if ready else out, {}
         if column.kind == "foreign_key":
             out = _with_foreign_key(out, column, label, spec.seed, parents or {}, parent_tables or {})
-            continue
-        high_water = None
-        if column.kind == "identity" and column.identity.type == "database_sequence":
-            target = (targets or {}).get(column.identity.sequence or spec.name)
-            high_water = high_water_mark(target, column.name) if target is not None else None
-        value = column_for(column, row, label, spec.seed, high_water)
-        if column.kind == "expression":
-            out = out.withColumn(DRAW, cell_draw(row, label, spec.seed)).withColumn(column.name, value).drop(DRAW)
+        elif column.kind == "expression":
+            drawn = out.withColumn(DRAW, cell_draw(row, label, spec.seed))
+            out = drawn.withColumn(column.name, column_for(column, row, label, spec.seed)).drop(DRAW)
         else:
-            out = out.withColumn(column.name, value)
-    return out
+            ready[column.name] = column_for(column, row, label, spec.seed, _high_water(spec, column, targets or {}))
+    return out.withColumns(ready) if ready else out
+
+
+def _high_water(spec: TableSpec, column: ColumnSpec, targets: Mapping[str, DataFrame]) -> Column | None:
+    if column.kind != "identity" or column.identity.type != "database_sequence":
+        return None
+    target = targets.get(column.identity.sequence or spec.name)
+    return high_water_mark(target, column.name) if target is not None else None
 
 
 def _with_foreign_key(
