@@ -106,15 +106,16 @@ def ingest(
     """Apply one batch to the target; a batch id seen before is skipped. Returns whether it was applied."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    if target.has_batch(batch_id):
+    snapshot = target.snapshot()
+    if batch_id in snapshot.batch_ids:
         return False
-    current, key = target.read(), target.key
+    current, key = target.read(snapshot), target.key
     if mode == "upsert":
-        target.replace(upsert_rows(df, current, key, order_by), batch_id)
+        target.replace(upsert_rows(df, current, key, order_by), batch_id, snapshot)
     elif mode == "do_nothing":
-        target.append(do_nothing_rows(df, current, key, order_by), batch_id)
+        target.append(do_nothing_rows(df, current, key, order_by), batch_id, snapshot)
     else:
-        target.append(insert_rows(df, current, key), batch_id)
+        target.append(insert_rows(df, current, key), batch_id, snapshot)
     return True
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowloom.operators.row_index import with_running_total
 from rowloom.operators.skew import join_unique
+from rowloom.session import reliable_checkpoint
 
 PERCENTILES = {"p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 
@@ -41,6 +42,9 @@ def percentiles(
     if digits is not None:
         measured = measured.withColumn("_v", significant(F.col("_v"), digits))
     counts = measured.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    if small is None:
+        # Read the input once: the size check and the ranking both use the stored counts.
+        counts = reliable_checkpoint(counts)
     running = with_running_total(counts, [*by, "_v"], "_n", "_cum", small)
     groups = running.groupBy(*by).agg(F.sum("_n").alias("_total"), F.min(F.col("_cum") - F.col("_n")).alias("_base"))
     if by:

@@ -13,11 +13,15 @@ RESULT_SETTINGS = {
     "spark.sql.chunkBase64String.enabled": "false",
 }
 
+# Wide generated projections exceed the size the JVM compiles to machine code;
+# with this limit Spark splits them into methods it does compile.
+SPEED_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    for key, value in RESULT_SETTINGS.items():
+    for key, value in {**RESULT_SETTINGS, **SPEED_SETTINGS}.items():
         spark.conf.set(key, value)
     return spark
 
@@ -26,7 +30,7 @@ def build_session(app: str = "rowloom", master: str | None = None, **settings: s
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RESULT_SETTINGS, **settings}.items():
+    for key, value in {**RESULT_SETTINGS, **SPEED_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return apply_settings(builder.getOrCreate())
 

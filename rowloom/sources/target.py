@@ -18,6 +18,15 @@ from pyspark.sql.types import StructType
 MANIFEST = "version bigint, kind string, segment string, batch_id bigint"
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """What the manifest says at one moment."""
+
+    version: int
+    segments: tuple[str, ...]
+    batch_ids: frozenset[int]
+
+
 @dataclass(frozen=True)
 class FileTarget:
     spark: SparkSession
@@ -43,30 +52,30 @@ class FileTarget:
     def commits(self) -> DataFrame:
         return self.spark.read.schema(MANIFEST).json(self._manifest)
 
-    def _live(self) -> tuple[int, list[str]]:
-        """Current version and the segments since the last replace: one line per commit, not per row."""
-        commits = self.commits()
-        since = commits.filter("kind = 'replace'").agg(F.max("version")).first()[0]
-        lines = commits.filter(F.col("version") >= since).select("version", "segment").collect()
-        return max(r["version"] for r in lines), [r["segment"] for r in lines if r["segment"]]
-
-    def has_batch(self, batch_id: int | None) -> bool:
-        return batch_id is not None and not self.commits().filter(F.col("batch_id") == batch_id).isEmpty()
-
-    def read(self) -> DataFrame:
-        _, segments = self._live()
+    def snapshot(self) -> Snapshot:
+        """The current state, from one read of the manifest: one line per commit, not per row."""
+        lines = self.commits().collect()
+        since = max(r["version"] for r in lines if r["kind"] == "replace")
+        live = sorted((r["version"], r["segment"]) for r in lines if r["version"] >= since and r["segment"])
+        return Snapshot(
+            max(r["version"] for r in lines), tuple(s for _, s in live),
+            frozenset(r["batch_id"] for r in lines if r["batch_id"] is not None),
+        )
+
+    def read(self, snapshot: Snapshot | None = None) -> DataFrame:
+        segments = (snapshot or self.snapshot()).segments
         if not segments:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{s}" for s in segments])
 
-    def _commit(self, df: DataFrame, kind: str, batch_id: int | None) -> None:
-        version, _ = self._live()
-        segment = f"segment-{version + 1}-{uuid.uuid4().hex}"
+    def _commit(self, df: DataFrame, kind: str, batch_id: int | None, snapshot: Snapshot | None) -> None:
+        version = (snapshot or self.snapshot()).version + 1
+        segment = f"segment-{version}-{uuid.uuid4().hex}"
         df.select(*self.schema.fieldNames()).write.parquet(f"{self.path}/{segment}")
-        self._record(version + 1, kind, segment, batch_id)
+        self._record(version, kind, segment, batch_id)
 
-    def append(self, df: DataFrame, batch_id: int | None = None) -> None:
-        self._commit(df, "append", batch_id)
+    def append(self, df: DataFrame, batch_id: int | None = None, snapshot: Snapshot | None = None) -> None:
+        self._commit(df, "append", batch_id, snapshot)
 
-    def replace(self, df: DataFrame, batch_id: int | None = None) -> None:
-        self._commit(df, "replace", batch_id)
+    def replace(self, df: DataFrame, batch_id: int | None = None, snapshot: Snapshot | None = None) -> None:
+        self._commit(df, "replace", batch_id, snapshot)
