@@ -170,7 +170,7 @@ def _customer_sql(ids: str) -> str:
     return f"""SELECT (id//2147483647)*2147483648+((id%2147483647)*1103515245)%2147483647 AS id,
         {D.pick(draw('first_name'), words.FIRST_NAMES)} AS first_name,
         lpad(({D.bits(draw('zip'))}%100000)::VARCHAR,5,'0') AS zip,
-        (({D.bits(draw('balance'))}%10000000)::DECIMAL(8,0)*0.01::DECIMAL(2,2))::DECIMAL(8,2) AS balance,
+        (({D.bits(draw('balance'))}%10000000)::DECIMAL(8,0)*0.01::DECIMAL(2,2))::DECIMAL(7,2) AS balance,
         DATE '2024-06-30'+(CASE WHEN {D.bits(draw('created'))}%2=0 THEN {size} ELSE -({size}) END)::INT AS created,
         {D.pick(draw('type'), ['A', 'L'])} AS type
         FROM (SELECT unnest(range(0, {ids}))::BIGINT AS id) rows"""

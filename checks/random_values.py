@@ -78,7 +78,7 @@ value_query(
     "random_big_decimal_wide", lambda d: rv.decimal(d, 0, 10**17, 2),
     f"(((({D.bits(D.slot('d', 1))}%1000000000000000)::HUGEINT+"
     f"({D.bits(D.slot('d', 2))}%1000000000000000)::HUGEINT*1000000000000000::HUGEINT)"
-    "%10000000000000000000::HUGEINT)::DECIMAL(20,0)*0.01::DECIMAL(2,2))::DECIMAL(20,2)",
+    "%10000000000000000000::HUGEINT)::DECIMAL(20,0)*0.01::DECIMAL(2,2))::DECIMAL(19,2)",
 )
 value_query("random_boolean", rv.boolean, f"{D.bits('d')}%2=0")
 value_query("random_int", lambda d: rv.integer(d, 18, 99), f"(18+{D.bits('d')}%81)::INTEGER")

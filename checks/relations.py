@@ -212,7 +212,7 @@ INFERRED = T.StructType([
 @check(
     "infer_type_map",
     f"""SELECT id+1 AS id, {D.bits(D.cell('t.active', 'id'))}%2=0 AS active, ({D.bits(D.cell('t.size', 'id'))}%32768)::INTEGER AS size,
-        (({D.bits(D.cell('t.total', 'id'))}%1000000000)::DECIMAL(10,0)*0.01::DECIMAL(2,2))::DECIMAL(10,2) AS total,
+        (({D.bits(D.cell('t.total', 'id'))}%1000000000)::DECIMAL(10,0)*0.01::DECIMAL(2,2))::DECIMAL(9,2) AS total,
         lpad(({D.bits(D.cell('t.zip', 'id'))}%100000)::VARCHAR,5,'0') AS zip, length(c_name) AS code_length
         FROM (SELECT c_custkey AS id, 'xxxxxxxx' AS c_name FROM customer) src""",
 )

@@ -186,7 +186,7 @@ def decimal(draw: Column, lo=DECIMAL_DEFAULT[0], hi=DECIMAL_DEFAULT[1], scale: i
     if lo >= hi:
         raise ValueError(f"empty range [{lo}, {hi})")
     first, span = int(lo.scaleb(scale)), int((hi - lo).scaleb(scale))
-    width = max(len(str(abs(int(hi.scaleb(scale))))), len(str(abs(first))), scale + 1)
+    width = max(len(str(abs(first + span - 1))), len(str(abs(first))), scale + 1)
     if width > 38:
         raise ValueError("decimal bounds need more than 38 digits")
     whole = "decimal(38,0)"
@@ -200,7 +200,9 @@ def decimal(draw: Column, lo=DECIMAL_DEFAULT[0], hi=DECIMAL_DEFAULT[1], scale: i
             part = below(slot(draw, n), radix).cast("decimal(15,0)") * F.lit(Decimal(weight))
             units = units.cast(whole) + part.cast(whole)
             weight, n = weight * radix, n + 1
-        units = (units % F.lit(Decimal(span))).cast(whole) + F.lit(Decimal(first))
+        if span < weight:
+            units = (units % F.lit(Decimal(span))).cast(whole)
+        units = units + F.lit(Decimal(first)) if first else units
     if scale == 0:
         return units.cast(f"decimal({width},0)")
     if width + scale >= 38:  # the product type would not fit, so shift the point as text

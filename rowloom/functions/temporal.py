@@ -101,7 +101,7 @@ def plus_date(value: Column, amount: Column | int, unit: str) -> Column:
 def plus_time(seconds: Column, amount: Column | int, unit: str) -> Column:
     """Add to a time of day, wrapping at midnight; date units are refused."""
     _, micros = _unit(unit, MICRO_UNITS)
-    total = seconds * 10**6 + _amount(amount) * F.lit(micros).cast("bigint")
+    total = seconds.cast("bigint") * F.lit(10**6).cast("bigint") + _amount(amount) * F.lit(micros).cast("bigint")
     return int_div(F.pmod(total, F.lit(DAY_SECONDS * 10**6).cast("bigint")), 10**6)
 
 
