@@ -222,6 +222,22 @@ def infer_type_map(t: Tables):
     return made.select("id", "active", "size", "total", "zip", F.length("code").cast("bigint").alias("code_length"))
 
 
+@check(
+    "infer_and_generate",
+    f"""WITH parents AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer),
+        states AS (SELECT list(DISTINCT o_orderstatus ORDER BY o_orderstatus) AS s FROM orders)
+        drawn AS (SELECT o_orderkey AS id, {D.bits(D.cell('orders.o_custkey', 'o_orderkey'))} % (SELECT count(*) FROM customer) AS pos,
+          {D.bits(D.cell('orders.o_orderstatus', 'o_orderkey'))} AS h FROM orders)
+        SELECT 1 + id AS o_orderkey, c_custkey AS o_custkey, (SELECT s FROM states)[1 + h % (SELECT len(s) FROM states)] AS o_orderstatus
+        FROM drawn JOIN parents USING (pos)""",
+)
+def infer_and_generate(t: Tables):
+    keys = KeySpec(("o_orderkey",), (ForeignKeySpec(("o_custkey",), "customer", ("c_custkey",)),))
+    spec = infer_from_data("orders", t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), keys)
+    index = t.orders.select(F.col("o_orderkey").alias("row_number"))
+    return project(spec, index, parent_tables={"customer": t.customer}).drop("row_number")
+
+
 SHOP = (
     TableSpec("buyer", (
         ColumnSpec("id", identity=Identity("unordered")), ColumnSpec("kind", value_set=ValueSet(("A", "B", "C"))),

@@ -17,6 +17,7 @@ logger = logging.getLogger(__name__)
 
 CHUNK_SIZE = 16
 STATEMENT_ROWS = 128  # most rows one multi-value statement may carry
+MAX_UPSERT_SEGMENTS = 32  # after so many the target is compacted
 MODES = ("error", "do_nothing", "upsert")
 METHODS = ("batch", "array", "singleton")
 POLICIES = ("IGNORE_AND_CONTINUE", "LOG_AND_CONTINUE", "RETHROW")
@@ -109,13 +110,15 @@ def ingest(
     snapshot = target.snapshot()
     if batch_id in snapshot.batch_ids:
         return False
-    current, key = target.read(snapshot), target.key
+    key = target.key
     if mode == "upsert":
-        target.replace(upsert_rows(df, current, key, order_by), batch_id, snapshot)
+        target.upsert(last_per_key(df, key, order_by), batch_id, snapshot)
+        if len(snapshot.upserts) + 1 >= MAX_UPSERT_SEGMENTS:
+            target.compact()
     elif mode == "do_nothing":
-        target.append(do_nothing_rows(df, current, key, order_by), batch_id, snapshot)
+        target.append(do_nothing_rows(df, target.keys(snapshot), key, order_by), batch_id, snapshot)
     else:
-        target.append(insert_rows(df, current, key), batch_id, snapshot)
+        target.append(insert_rows(df, target.keys(snapshot), key), batch_id, snapshot)
     return True
 
 
@@ -153,6 +156,15 @@ def apply_error_policy(
     return accepted_rows(df, bad, method, chunk, row)
 
 
+def apply_error_policies(
+    df: DataFrame, transient: Column, permanent: Column, transient_policy: str = "LOG_AND_CONTINUE",
+    permanent_policy: str = "RETHROW", method: str = "batch", chunk: str = "chunk_id", row: str = "row_index",
+) -> DataFrame:
+    """One policy for rows that might succeed when sent again, another for those that never will."""
+    kept = apply_error_policy(df, permanent, permanent_policy, method, chunk, row)
+    return apply_error_policy(kept, transient, transient_policy, method, chunk, row)
+
+
 def split_rejects(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantined rows)."""
     flag = F.coalesce(bad, F.lit(True))

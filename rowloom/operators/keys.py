@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.operators.skew import join_unique
-
 
 def check_primary_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Violations: keys with a null part or more than one row, with their row count."""
@@ -26,5 +24,9 @@ def check_foreign_key(child: DataFrame, parent: DataFrame, on: Sequence[tuple[st
     """
     names = [c for c, _ in on]
     counts = child.dropna(subset=names).groupBy(*names).agg(F.count(F.lit(1)).alias("n_rows"))
-    keys = parent.select(*[F.col(p).alias(c) for c, p in on]).distinct()
-    return join_unique(counts, keys, names, "left_anti")
+    keys = parent.select(*[F.col(p).alias(f"_{c}") for c, p in on])
+    # The count in the condition keeps the optimizer from moving the join below the grouping.
+    match = F.col("n_rows") > 0
+    for c in names:
+        match = match & (F.col(c) == F.col(f"_{c}"))
+    return counts.join(keys, match, "left_anti")

@@ -20,7 +20,8 @@ MAX_LITERALS = 1_000
 def lookup_one(df: DataFrame, ref: DataFrame, on: Sequence[str], value: str, strict: bool = True) -> DataFrame:
     """Add ``value`` of the one reference row matching ``on``; strict raises unless there is exactly one."""
     unique = ref.groupBy(*on).agg(F.count(F.lit(1)).alias("_matches"), F.min(value).alias(value))
-    joined = join_unique(df, unique, on, "left")
+    # The raw table bounds the grouped one, and its check stops early.
+    joined = join_unique(df, unique, on, "left", small=is_small(ref))
     matches = F.coalesce(F.col("_matches"), F.lit(0))
     if strict:
         refused = F.raise_error(F.concat(F.lit(f"lookup of {value} found "), matches.cast("string"), F.lit(" rows")))
@@ -62,7 +63,7 @@ def dictionary_pick(df: DataFrame, draw: Column, words: DataFrame, value: str, o
     listed = words.select(F.col(value).alias(name), *[F.col(c).alias(o) for c, o in zip(order_by, order)])
     if is_small(listed, MAX_LITERALS):
         entries = [r[0] for r in listed.orderBy(*order).select(name).take(MAX_LITERALS)]
-        return df.withColumn(name, pick(draw, entries))
+        return df.withColumn(name, pick(draw, entries).cast(listed.schema[name].dataType))
     return lookup_by_position(df, below(draw, index_size(listed)), listed, order).drop(*order)
 
 
@@ -81,7 +82,8 @@ def weighted_choice(
     )
     if is_small(listed, MAX_LITERALS):
         rows = listed.orderBy(*order).select(name, "_weight").take(MAX_LITERALS)
-        return df.withColumn(name, _unit_choice(draw, [r[0] for r in rows], [r[1] for r in rows]))
+        chosen = _unit_choice(draw, [r[0] for r in rows], [r[1] for r in rows])
+        return df.withColumn(name, chosen.cast(listed.schema[name].dataType))
     small = is_small(listed)
     total = listed.agg(F.sum("_weight")).first()[0]
     runs = with_running_total(listed.filter("_weight > 0"), order, "_weight", "_end", small)

@@ -1,8 +1,13 @@
 """A keyed table on plain files: immutable segments listed in a manifest.
 
 Each commit writes a new parquet segment and then one manifest line, so a
-failed write is never visible and a repeated batch id is recognised. A
-``replace`` line starts a new set of segments. One writer at a time.
+failed write is never visible and a repeated batch id is recognised.
+
+An ``append`` segment holds new keys, an ``upsert`` segment rows that stand in
+for earlier rows of their keys, and a ``replace`` segment a whole table. An
+upsert therefore costs as much as its batch; readers take earlier rows without
+an upserted key plus the last upserted row of each key, and ``compact`` folds
+the upserts in. One writer at a time.
 """
 
 from __future__ import annotations
@@ -11,10 +16,11 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+SEGMENT_VERSION = r"/segment-(\d+)-[0-9a-f]{32}/"
 MANIFEST = "version bigint, kind string, segment string, batch_id bigint"
 
 
@@ -23,7 +29,8 @@ class Snapshot:
     """What the manifest says at one moment."""
 
     version: int
-    segments: tuple[str, ...]
+    plain: tuple[str, ...]
+    upserts: tuple[tuple[int, str], ...]
     batch_ids: frozenset[int]
 
 
@@ -56,17 +63,38 @@ class FileTarget:
         """The current state, from one read of the manifest: one line per commit, not per row."""
         lines = self.commits().collect()
         since = max(r["version"] for r in lines if r["kind"] == "replace")
-        live = sorted((r["version"], r["segment"]) for r in lines if r["version"] >= since and r["segment"])
+        live = sorted((r["version"], r["kind"], r["segment"]) for r in lines if r["version"] >= since and r["segment"])
         return Snapshot(
-            max(r["version"] for r in lines), tuple(s for _, s in live),
+            max(r["version"] for r in lines),
+            tuple(s for _, kind, s in live if kind != "upsert"),
+            tuple((v, s) for v, kind, s in live if kind == "upsert"),
             frozenset(r["batch_id"] for r in lines if r["batch_id"] is not None),
         )
 
-    def read(self, snapshot: Snapshot | None = None) -> DataFrame:
-        segments = (snapshot or self.snapshot()).segments
-        if not segments:
+    def _segments(self, names: Sequence[str]) -> DataFrame:
+        if not names:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{s}" for s in segments])
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{s}" for s in names])
+
+    def keys(self, snapshot: Snapshot | None = None) -> DataFrame:
+        """Every key in the table, some more than once; nothing has to be resolved for that."""
+        snapshot = snapshot or self.snapshot()
+        return self._segments([*snapshot.plain, *(s for _, s in snapshot.upserts)]).select(*self.key)
+
+    def read(self, snapshot: Snapshot | None = None) -> DataFrame:
+        snapshot = snapshot or self.snapshot()
+        plain = self._segments(snapshot.plain)
+        if not snapshot.upserts:
+            return plain
+        version = F.regexp_extract(F.col("_metadata.file_path"), SEGMENT_VERSION, 1).cast("bigint")
+        upserted = self._segments([s for _, s in snapshot.upserts])
+        if len(snapshot.upserts) > 1:
+            newest = Window.partitionBy(*self.key).orderBy(F.col("_version").desc())
+            ranked = upserted.withColumn("_version", version).withColumn("_rank", F.row_number().over(newest))
+            latest = ranked.filter("_rank = 1").drop("_rank", "_version")
+        else:
+            latest = upserted
+        return plain.join(upserted.select(*self.key), list(self.key), "left_anti").select(*plain.columns).unionByName(latest)
 
     def _commit(self, df: DataFrame, kind: str, batch_id: int | None, snapshot: Snapshot | None) -> None:
         version = (snapshot or self.snapshot()).version + 1
@@ -75,7 +103,18 @@ class FileTarget:
         self._record(version, kind, segment, batch_id)
 
     def append(self, df: DataFrame, batch_id: int | None = None, snapshot: Snapshot | None = None) -> None:
+        """Add rows with keys the table does not have."""
         self._commit(df, "append", batch_id, snapshot)
 
+    def upsert(self, df: DataFrame, batch_id: int | None = None, snapshot: Snapshot | None = None) -> None:
+        """Add rows that replace those of the same key; one row per key."""
+        self._commit(df, "upsert", batch_id, snapshot)
+
     def replace(self, df: DataFrame, batch_id: int | None = None, snapshot: Snapshot | None = None) -> None:
         self._commit(df, "replace", batch_id, snapshot)
+
+    def compact(self) -> None:
+        """Write the resolved table as one segment."""
+        snapshot = self.snapshot()
+        if snapshot.upserts:
+            self.replace(self.read(snapshot), None, snapshot)

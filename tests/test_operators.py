@@ -1,5 +1,7 @@
 """Skewed keys, large paths, graphs, conflicts and error policies on small frames."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -219,12 +221,32 @@ def test_generated_stream(spark):
 
 
 def test_shared_folder_setting_wins(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/tmp/named-folder/")
-    try:
-        assert shared_dir(spark) == "/tmp/named-folder"
-        spark.conf.unset("spark.checkpoint.dir")
-        assert shared_dir(spark)
-    finally:
-        if before:
-            spark.conf.set("spark.checkpoint.dir", before)
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": "/shared/named/"})
+    assert shared_dir(named) == "/shared/named"
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn", applicationId="a"))
+    with pytest.raises(ValueError, match="shared by all executors"):
+        shared_dir(cluster)
+    local = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="local[2]", applicationId="b"))
+    assert shared_dir(local) == shared_dir(local)
+
+
+def test_upserts_are_resolved_and_compacted(spark, monkeypatch):
+    monkeypatch.setattr(I, "MAX_UPSERT_SEGMENTS", 3)
+    t = target(spark)
+    t.append(spark.createDataFrame([(i, "base") for i in range(6)], "id long, v string"))
+    expected = {i: "base" for i in range(6)}
+    for n in range(4):
+        batch = [(i, f"b{n}-{at}", at) for at, i in enumerate((n, n + 1, n, 10 + n))]
+        I.ingest(spark.createDataFrame(batch, "id long, v string, at long"), t, ["at"], "upsert", batch_id=n)
+        expected.update({i: v for i, v, _ in batch})
+        assert dict(t.read().collect()) == expected
+        assert {r[0] for r in t.keys().collect()} == set(expected)
+    assert len(t.snapshot().upserts) == 1 and t.snapshot().batch_ids == {0, 1, 2, 3}
+
+
+def test_two_error_policies(spark):
+    df = spark.range(48).select(F.col("id").alias("row_index"), I.chunk_of(F.col("id"), 16).alias("chunk_id"))
+    transient, permanent = F.col("row_index") == 3, F.col("row_index") == 20
+    assert I.apply_error_policies(df, transient, permanent, permanent_policy="IGNORE_AND_CONTINUE").count() == 16
+    with pytest.raises(ValueError, match="bad row"):
+        I.apply_error_policies(df, transient, permanent)
