@@ -225,7 +225,7 @@ def infer_type_map(t: Tables):
 @check(
     "infer_and_generate",
     f"""WITH parents AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer),
-        states AS (SELECT list(DISTINCT o_orderstatus ORDER BY o_orderstatus) AS s FROM orders)
+        states AS (SELECT list(DISTINCT o_orderstatus ORDER BY o_orderstatus) AS s FROM orders),
         drawn AS (SELECT o_orderkey AS id, {D.bits(D.cell('orders.o_custkey', 'o_orderkey'))} % (SELECT count(*) FROM customer) AS pos,
           {D.bits(D.cell('orders.o_orderstatus', 'o_orderkey'))} AS h FROM orders)
         SELECT 1 + id AS o_orderkey, c_custkey AS o_custkey, (SELECT s FROM states)[1 + h % (SELECT len(s) FROM states)] AS o_orderstatus
