@@ -24,9 +24,9 @@ DECIMAL_DEFAULT = (0, 18, 2)
 ALPHANUMERIC = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 VOWELS = "aeiou"
 CONSONANTS = "bcdfghjklmnpqrstvwxyz"
-STRING_PAIRS = 4
-WORD_PAIRS = 6
-SHORT_TEXT = 64  # up to here strings are put together from letter pairs
+STRING_BLOCK = 8  # letters taken from one draw
+WORD_BLOCK = 12
+SHORT_TEXT = 64  # up to here strings are put together letter by letter
 DIGEST_LETTERS = 108
 UNROLLED_DIGEST_LETTERS = 1024
 DECIMAL_CHUNK = 10**15
@@ -223,25 +223,20 @@ def money_text(draw: Column, currency_code: Column | str | None = None) -> Colum
 # -- text ----------------------------------------------------------------------
 
 
-def pair_table(first: str, second: str) -> str:
-    """All two-letter texts, space separated, the first letter running fastest."""
-    return " ".join(a + b for b in second for a in first)
+def _letters(draw: Column, alphabets: Sequence[str]) -> list[Column]:
+    """One byte per alphabet, all from one draw; bytes are found without scanning the alphabet."""
+    places = digits(draw, [len(a) for a in alphabets])
+    return [F.substr(F.lit(a.encode()), (p + 1).cast("int"), F.lit(1)) for a, p in zip(alphabets, places)]
 
 
-def _pairs(draw: Column, first: str, second: str, count: int) -> Column:
-    """``count`` two-letter texts from one draw, looked up in a table the planner folds to a literal."""
-    table, size = F.split(F.lit(pair_table(first, second)), " "), len(first) * len(second)
-    return F.concat(*[F.element_at(table, (p + 1).cast("int")) for p in digits(draw, [size] * count)])
-
-
-def _paired_text(draw: Column, length: int, first: str, second: str, pairs: int) -> Column:
-    """Text of a known length, ``pairs`` two-letter texts per draw, all in generated code."""
-    if length <= 0:
+def _spelled(draw: Column, alphabets: Sequence[str], block: int) -> Column:
+    """Text with one letter per alphabet, ``block`` letters per draw, all in generated code."""
+    if not alphabets:
         return F.lit("")
-    block, blocks = 2 * pairs, -(-length // (2 * pairs))
-    counts = [pairs] * (blocks - 1) + [-(-(length - (blocks - 1) * block) // 2)]
-    text = F.concat(*[_pairs(element(draw, 0, F.lit(i)), first, second, n) for i, n in enumerate(counts, 1)])
-    return F.substring(text, 1, length) if length % 2 else text
+    letters = []
+    for i, start in enumerate(range(0, len(alphabets), block), 1):
+        letters += _letters(element(draw, 0, F.lit(i)), alphabets[start : start + block])
+    return F.concat(*letters).cast("string")
 
 
 def _digest_text(draw: Column, bound: int | Column, size: Column) -> Column:
@@ -274,16 +269,16 @@ def string(draw: Column, length: int | Column, max_length: int | None = None) ->
     if isinstance(bound, int):
         if bound > SHORT_TEXT:
             return _digest_text(source, bound, F.lit(bound) if size is None else size)
-        text = _paired_text(source, bound, ALPHANUMERIC, ALPHANUMERIC, STRING_PAIRS)
+        text = _spelled(source, [ALPHANUMERIC] * bound, STRING_BLOCK)
         return text if size is None else F.substr(text, F.lit(1), size)
     size = bound.cast("int")
-    short = _paired_text(source, SHORT_TEXT, ALPHANUMERIC, ALPHANUMERIC, STRING_PAIRS)
+    short = _spelled(source, [ALPHANUMERIC] * SHORT_TEXT, STRING_BLOCK)
     return F.when(size <= SHORT_TEXT, F.substr(short, F.lit(1), size)).otherwise(_digest_text(source, size, size))
 
 
 def word(draw: Column, length: int) -> Column:
     """Alternating vowels and consonants, vowel first."""
-    return _paired_text(draw, length, VOWELS, CONSONANTS, WORD_PAIRS)
+    return _spelled(draw, ([VOWELS, CONSONANTS] * length)[:length], WORD_BLOCK)
 
 
 def _hex64(draw: Column) -> Column:

@@ -51,6 +51,8 @@ def _clock(draw: Column, anchor: str | None = None) -> Column:
     return temporal.time_text(temporal.random_time(draw, start))
 
 
+WORD_LETTERS = 96
+
 # SQL bodies see the draw as ``draw``; the helpers below spell out the shared parts.
 
 
@@ -97,20 +99,23 @@ def _zip(draw: str = "draw") -> str:
     return f"lpad(CAST({_bits(draw)} % 100000 AS STRING), 5, '0')"
 
 
-def _paired_text(length: int, pairs: int, n: int, draw: str = "draw") -> str:
-    """``length`` letters, looked up in the array ``letters`` of ``n`` two-letter texts."""
+def _spelled(alphabets: list[str], block: int, draw: str = "draw") -> str:
+    """One letter per alphabet, ``block`` letters per draw."""
     parts = []
-    for i in range(length // 2):
-        place = f"({_bits(_element(0, str(i // pairs + 1), draw))} div {n ** (i % pairs)}) % {n}"
-        parts.append(f"element_at(letters, CAST(1 + {place} AS INT))")
-    return f"concat({', '.join(parts)})"
+    for start in range(0, len(alphabets), block):
+        source, used = _bits(_element(0, str(start // block + 1), draw)), 1
+        for letters in alphabets[start : start + block]:
+            place = f"CAST(1 + ({source} div {used}) % {len(letters)} AS INT)"
+            parts.append(f"substring(CAST('{letters}' AS BINARY), {place}, 1)")
+            used *= len(letters)
+    return f"CAST(concat({', '.join(parts)}) AS STRING)"
 
 
 def _string() -> str:
     source = f"(CASE WHEN longest IS NULL THEN draw ELSE {_slot(1)} END)"
     size = f"CAST(CASE WHEN longest IS NULL THEN length ELSE length + {_bits(_slot(2))} % (longest - length) END AS INT)"
     bound = "(CASE WHEN longest IS NULL THEN length ELSE longest - 1 END)"
-    short = f"substr({_paired_text(rv.SHORT_TEXT, rv.STRING_PAIRS, 62 * 62, source)}, 1, {size})"
+    short = f"substr({_spelled([rv.ALPHANUMERIC] * rv.SHORT_TEXT, rv.STRING_BLOCK, source)}, 1, {size})"
     digest = f"sha2(concat(CAST({_bits(source)} AS STRING), '|', CAST(i AS STRING)), 256)"
     groups = f"CAST(3 * ({bound} div {rv.DIGEST_LETTERS} + 1) AS INT)"
     text = f"base64(unhex(array_join(transform(sequence(1, {groups}), i -> {digest}), '')))"
@@ -120,10 +125,6 @@ def _string() -> str:
     return f"CASE WHEN {bound} <= {rv.SHORT_TEXT} THEN {short} ELSE {long} END"
 
 
-def _letters(first: str, second: str) -> str:
-    return f"split('{rv.pair_table(first, second)}', ' ')"
-
-
 def _sentence_words(count: str, draw: str) -> str:
     chosen = _pick(words.LOREM, _element(0, "w", draw))
     return (
@@ -223,10 +224,9 @@ ENTRIES = [
     FunctionEntry("randomDouble", "random", "lo DOUBLE DEFAULT 0, hi DOUBLE DEFAULT 1.7976931348623157E308D", "DOUBLE",
                   "uniform in [lo, hi)", rv.double, f"lo + {_bits()} / 4503599627370496.0D * (hi - lo)"),
     FunctionEntry("randomString", "random", "length INT, longest INT DEFAULT NULL", "STRING",
-                  "letters and digits, of one length or of a length in [length, longest)", rv.string,
-                  f"lettersAndDigits(draw, length, longest, {_letters(rv.ALPHANUMERIC, rv.ALPHANUMERIC)})"),
-    FunctionEntry("randomWord", "random", "length INT", "STRING", "vowels and consonants in turn, up to 96", rv.word,
-                  f"vowelsAndConsonants(draw, length, {_letters(rv.VOWELS, rv.CONSONANTS)})"),
+                  "letters and digits, of one length or of a length in [length, longest)", rv.string, _string()),
+    FunctionEntry("randomWord", "random", "length INT", "STRING", f"vowels and consonants in turn, up to {WORD_LETTERS} in SQL", rv.word,
+                  f"substr({_spelled([rv.VOWELS, rv.CONSONANTS] * (WORD_LETTERS // 2), rv.WORD_BLOCK)}, 1, length)"),
     FunctionEntry("randomBytes", "random", "n INT", "BINARY", "n bytes", rv.random_bytes,
                   "unhex(substr(array_join(transform(sequence(1, greatest(1, CAST((n + 7) div 8 AS INT))), "
                   f"i -> {_hex(_element(0, 'i'))}), ''), 1, 2 * n))"),
@@ -268,13 +268,6 @@ _MONTHS, _DAYS, _MICROS = _cases(temporal.MONTH_UNITS), _cases(temporal.DAY_UNIT
 _REFUSED = "raise_error(concat('unit does not fit this type: ', unit))"
 _DAY_MICROS = temporal.DAY_SECONDS * 10**6
 
-# Functions the catalogue builds on; the letter table is an argument so that it is written once.
-HELPERS = [
-    ("lettersAndDigits", "draw BIGINT, length INT, longest INT, letters ARRAY<STRING>", "STRING", _string()),
-    ("vowelsAndConsonants", "draw BIGINT, length INT, letters ARRAY<STRING>", "STRING",
-     f"substr({_paired_text(96, rv.WORD_PAIRS, len(rv.VOWELS) * len(rv.CONSONANTS))}, 1, length)"),
-]
-
 # Functions of plain values; they take no draw.
 VALUE_FUNCTIONS = [
     ("currentDate", "temporal", "", "DATE", "current_date()"),
@@ -314,8 +307,6 @@ def build_call(draw: Column, name: str, *args) -> Column:
 def register_functions(spark: SparkSession) -> list[str]:
     """Install the catalogue as temporary SQL functions; returns their names."""
     done = []
-    for name, args, returns, body in HELPERS:
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}")
     for e in ENTRIES:
         if e.sql is not None:
             args = "draw BIGINT" + (f", {e.args}" if e.args else "")
