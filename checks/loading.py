@@ -202,27 +202,34 @@ def line_target(t: Tables, start) -> FileTarget:
 
 
 def early_lines(t: Tables):
-    """One row per key for the first half of the orders."""
-    return I.first_per_key(t.lineitem.filter("l_orderkey % 2 = 0"), LINE_KEY, ARRIVAL)
+    """One row per key of the finished lines, which the target holds before the ingest."""
+    return I.first_per_key(t.lineitem.filter("l_linestatus = 'F'"), LINE_KEY, ARRIVAL)
 
 
-EARLY = f"(SELECT * FROM {FIRSTS} f WHERE l_orderkey % 2 = 0)"
+def per_key(condition: str, direction: str) -> str:
+    order = ", ".join(f"{c} {direction}" for c in ARRIVAL)
+    return f"""(SELECT * FROM lineitem WHERE {condition} QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+        ORDER BY {order}) = 1)"""
+
+
+EARLY = per_key("l_linestatus = 'F'", "ASC")
+BACK = per_key("l_returnflag = 'R'", "DESC")
 
 
 @check(
     "insert_conflicts",
-    """SELECT l_orderkey, l_linenumber, count(*) AS n_rows, l_orderkey % 2 = 0 AS in_target FROM lineitem
-       GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 OR l_orderkey % 2 = 0""",
+    """SELECT l_orderkey, l_linenumber, count(*) AS n_rows, bool_or(l_linestatus = 'F') AS in_target FROM lineitem
+       GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 OR bool_or(l_linestatus = 'F')""",
 )
 def insert_conflicts(t: Tables):
-    return I.conflicts(t.lineitem, t.lineitem.filter("l_orderkey % 2 = 0"), LINE_KEY)
+    return I.conflicts(t.lineitem, t.lineitem.filter("l_linestatus = 'F'"), LINE_KEY)
 
 
 @check("insert_error_mode", "SELECT * FROM orders")
 def insert_error(t: Tables):
     target = FileTarget.create(t.spark, scratch_path(t.spark, "orders"), t.orders.schema, ["o_orderkey"])
-    I.ingest(t.orders.filter("o_orderkey % 2 = 0"), target, ["o_orderkey"])
-    I.ingest(t.orders.filter("o_orderkey % 2 = 1"), target, ["o_orderkey"])
+    I.ingest(t.orders.filter("o_orderstatus = 'F'"), target, ["o_orderkey"])
+    I.ingest(t.orders.filter("o_orderstatus <> 'F'"), target, ["o_orderkey"])
     try:
         I.ingest(t.orders, target, ["o_orderkey"])
     except I.KeyConflict:
@@ -230,7 +237,10 @@ def insert_error(t: Tables):
     raise AssertionError("a repeated key was accepted")
 
 
-@check("insert_do_nothing", f"SELECT {SHOWN} FROM {EARLY} e UNION ALL SELECT {SHOWN} FROM {FIRSTS} f WHERE l_orderkey % 2 <> 0")
+@check(
+    "insert_do_nothing",
+    f"SELECT {SHOWN} FROM {EARLY} e UNION ALL SELECT {SHOWN} FROM {FIRSTS} f ANTI JOIN {EARLY} e USING (l_orderkey, l_linenumber)",
+)
 def do_nothing(t: Tables):
     target = line_target(t, early_lines(t))
     I.ingest(t.lineitem, target, ARRIVAL, "do_nothing")
@@ -246,11 +256,11 @@ def upsert(t: Tables):
 
 @check(
     "upsert_partial",
-    f"SELECT {SHOWN} FROM {LASTS} l WHERE l_orderkey % 3 = 0 UNION ALL SELECT {SHOWN} FROM {FIRSTS} f WHERE l_orderkey % 3 <> 0",
+    f"SELECT {SHOWN} FROM {BACK} b UNION ALL SELECT {SHOWN} FROM {FIRSTS} f ANTI JOIN {BACK} b USING (l_orderkey, l_linenumber)",
 )
 def upsert_partial(t: Tables):
     base = I.first_per_key(t.lineitem, LINE_KEY, ARRIVAL)
-    return I.upsert_rows(t.lineitem.filter("l_orderkey % 3 = 0"), base, LINE_KEY, ARRIVAL).select(*SHOWN_COLUMNS)
+    return I.upsert_rows(t.lineitem.filter("l_returnflag = 'R'"), base, LINE_KEY, ARRIVAL).select(*SHOWN_COLUMNS)
 
 
 # -- insert methods and errors ------------------------------------------------------------------
@@ -305,12 +315,12 @@ def quarantine(t: Tables):
 
 @check(
     "permissive_read",
-    "SELECT event_id % 5 = 0 AS corrupt, count(*) AS n_rows, count(*) FILTER (event_id % 5 <> 0) AS n_users FROM events "
-    "GROUP BY event_id % 5 = 0",
+    "SELECT event_type = 'click' AS corrupt, count(*) AS n_rows, count(*) FILTER (event_type <> 'click') AS n_users FROM events "
+    "GROUP BY event_type = 'click'",
 )
 def permissive(t: Tables):
     path = scratch_path(t.spark, "lines")
-    number = F.when(F.col("event_id") % 5 == 0, F.lit("not a number")).otherwise(F.col("user_id").cast("string"))
+    number = F.when(F.col("event_type") == "click", F.lit("not a number")).otherwise(F.col("user_id").cast("string"))
     t.events.select(F.concat_ws(",", "event_id", number).alias("value")).write.text(path)
     schema = X.with_corrupt_column(StructType.fromDDL("event_id bigint, user_id bigint"))
     read = t.spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
