@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import language_id, packing, simhash_dedup, token_counts, toxicity
+from rowloom.llm import language_id, packing, simhash_dedup, syncmers, token_counts, toxicity
 from rowloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op3_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.document_fingerprints(table(spark, folder, "documents"))
+
+
 @query
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
