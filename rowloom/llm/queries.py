@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import language_id, packing, simhash_dedup, syncmers, token_counts, toxicity
+from rowloom.llm import embedding_dedup, html_extract, language_id, packing, simhash_dedup, syncmers, token_counts, toxicity
 from rowloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,13 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, folder, "labels"))
     found = toxicity.score(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, folder, "embeddings"), threshold=0.98)
+
+
+@query
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, folder, "pages"))

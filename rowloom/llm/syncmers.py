@@ -21,7 +21,7 @@ from rowloom.llm.texts import CHARS_AT_ONCE, code_points
 
 K, S = 24, 8
 ANCHORS = 64
-PART_ROWS = 4000  # documents of neighbouring ids that are put in order together, on average
+PART_ROWS = 1000  # documents of neighbouring ids that are put in order together, on average
 MAX_PARTS = 1 << 14  # the bounds of the parts go to all tasks
 
 SCHEMA = (
