@@ -235,7 +235,8 @@ def unimportant(pages: DataFrame) -> DataFrame:
     def relative_entropy(value: str, name: str) -> DataFrame:
         n = counted.groupBy("host", "path", value).agg(F.sum("n").alias("n"))
         total = n.groupBy("host", "path").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("spread"))
-        return total.select("host", "path", "total", ((F.log("total") - F.col("spread") / F.col("total")) / F.log("total")).alias(name))
+        value = (F.log("total") - F.col("spread") / F.col("total")) / F.nullif(F.log("total"), F.lit(0.0))
+        return total.select("host", "path", "total", F.coalesce(value, F.lit(1.0)).alias(name))
 
     presentation, content = relative_entropy("kinds", "presentation"), relative_entropy("content", "content")
     size = pages.groupBy("host").agg(F.count("*").alias("pages"))
