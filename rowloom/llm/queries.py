@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import embedding_dedup, html_extract, language_id, line_dedup, packing, simhash_dedup, syncmers, token_counts, toxicity
+from rowloom.llm import embedding_dedup, html_extract, language_id, line_dedup, mixing, packing, simhash_dedup, syncmers, token_counts, toxicity
 from rowloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,15 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query
+def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mixture(table(spark, folder, "documents"))
+    return found.select("row.doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+ORACLES["op5_source_mixing"] = mixing.mixture_sql()
+
+
 @query
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup.drop_repeated_lines(table(spark, folder, "documents"))
