@@ -23,7 +23,7 @@ BUCKETS_LOG2 = 19
 SIZES = (3, 4, 5)
 WIDTH = 8
 ROWS_PER_LABEL = {0: 4000, 1: 2000}  # bound of the training sample
-EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.5, 0.0005
+EPOCHS, STEPS, BATCH, RATE, DECAY = 12, 800, 64, 0.5, 0.0005
 THRESHOLD = 0.3
 PAD = 40  # a text is averaged with so many empty words, or few words would speak too loud
 MIN_TEXTS = 5  # an n-gram has a vector only if so many texts of the sample hold it
@@ -152,7 +152,7 @@ def fit(rows: list[tuple[int, int, bytes, bytes]]) -> ToxicityModel:
     bias = np.zeros(2)
     seen_v, seen_s, seen_b = np.full(len(used), 1e-8), np.full((WIDTH, 2), 1e-8), np.full(2, 1e-8)
     balance = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * BATCH // len(y))):  # few rows are seen more often
         order = draw.permutation(len(y))
         for at in range(0, len(y), BATCH):
             part = order[at:at + BATCH]
