@@ -35,10 +35,10 @@ one_column("uuid_key", ColumnSpec("value", identity=Identity("uuid")),
            "substr(x.a,9,4)||'-4'||substr(x.a,14,3)||'-'||x.v||substr(x.b,2,3)||'-'||substr(x.b,5,12))[1]")
 one_column("sequence", ColumnSpec("value", identity=Identity("sequence", 100, 1000, 7)), "100+(id%129)*7")
 one_column("sequence_unbounded", ColumnSpec("value", identity=Identity("sequence", 5, None, 3)), "5+id*3")
-one_column("value_set", ColumnSpec("value", value_set=ValueSet(("A", "L", "E", "R", "C"))),
-           D.pick("d", ["A", "L", "E", "R", "C"]))
-one_column("value_set_weighted", ColumnSpec("value", value_set=ValueSet(("GEN", "TMP", "PAY"), (5, 1, 2))),
-           f"CASE WHEN 5.0>={D.unit('d')}*8.0 THEN 'GEN' WHEN 6.0>={D.unit('d')}*8.0 THEN 'TMP' ELSE 'PAY' END")
+one_column("value_set", ColumnSpec("value", value_set=ValueSet(("red", "amber", "green", "blue"))),
+           D.pick("d", ["red", "amber", "green", "blue"]))
+one_column("value_set_weighted", ColumnSpec("value", value_set=ValueSet(("north", "east", "south"), (5, 1, 2))),
+           f"CASE WHEN 5.0>={D.unit('d')}*8.0 THEN 'north' WHEN 6.0>={D.unit('d')}*8.0 THEN 'east' ELSE 'south' END")
 one_column("date_range_days",
            ColumnSpec("value", range=Range("date", "2020-01-01", "2020-12-31", 3, "DAYS")),
            "DATE '2020-01-01'+(((id+1)%122)*3)::INT")

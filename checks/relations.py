@@ -1,5 +1,6 @@
 """Lookups, key checks, dependency levels, inference and related tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,10 +123,9 @@ TURNS = """(SELECT conv_id * 1000 + turn AS child, conv_id * 1000 + lag(turn) OV
 
 
 def turn_edges(t: Tables):
-    follows = t.conversations.select("conv_id", F.col("turn").alias("before"))
-    pairs = t.conversations.join(follows, "conv_id").filter("before < turn")
-    last = pairs.groupBy("conv_id", "turn", "role").agg(F.max("before").alias("before"))
-    return last.select(
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = t.conversations.select("conv_id", "turn", "role", before.alias("before")).filter("before IS NOT NULL")
+    return pairs.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("child"), (F.col("conv_id") * 1000 + F.col("before")).alias("parent"),
         "role",
     )
@@ -154,8 +154,6 @@ TYPE_EDGES = """(SELECT DISTINCT event_type AS child, lag(event_type) OVER (PART
 
 def type_edges(t: Tables):
     """Which event type follows which, over users' whole histories."""
-    from pyspark.sql import Window
-
     before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
     return t.events.select(F.col("event_type").alias("child"), before.alias("parent")).dropna().distinct()
 
@@ -198,7 +196,7 @@ def edge_value_(t: Tables):
         SELECT id AS row_number, b[1+{D.bits('d')}%len(b)] AS p_brand FROM {D.rows('part', 'p_partkey', 'part.p_brand')}, brands""",
 )
 def enum_inference(t: Tables):
-    spec = infer_from_data("part", t.part.select("p_brand"))
+    spec = infer_from_data("part", t.part.select("p_brand"), 50)
     return project(spec, t.part.select(F.col("p_partkey").alias("row_number")))
 
 
@@ -233,7 +231,7 @@ def infer_type_map(t: Tables):
 )
 def infer_and_generate(t: Tables):
     keys = KeySpec(("o_orderkey",), (ForeignKeySpec(("o_custkey",), "customer", ("c_custkey",)),))
-    spec = infer_from_data("orders", t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), keys)
+    spec = infer_from_data("orders", t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), 50, keys)
     index = t.orders.select(F.col("o_orderkey").alias("row_number"))
     return project(spec, index, parent_tables={"customer": t.customer}).drop("row_number")
 

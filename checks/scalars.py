@@ -299,14 +299,14 @@ def if_then_else(t: Tables):
 
 @check(
     "literals",
-    """SELECT c_custkey, 1.5::DECIMAL(2,1) AS number, true AS flag, 'abc' AS text, DATE '2021-01-01' AS day,
-       43205::BIGINT AS clock, TIMESTAMP '2021-01-01 12:00:05' AS moment FROM customer""",
+    """SELECT c_custkey, 27.25::DECIMAL(4,2) AS number, true AS flag, 'plum' AS text, DATE '2023-08-19' AS day,
+       73844::BIGINT AS clock, TIMESTAMP '2023-08-19 20:30:44' AS moment FROM customer""",
 )
 def literals(t: Tables):
     return t.customer.select(
-        "c_custkey", F.lit(Decimal("1.5")).alias("number"), F.lit(True).alias("flag"), F.lit("abc").alias("text"),
-        F.lit(dt.date(2021, 1, 1)).alias("day"), F.lit(T.parse_time("12:00:05")).cast("bigint").alias("clock"),
-        F.expr("timestamp_ntz'2021-01-01 12:00:05'").alias("moment"),
+        "c_custkey", F.lit(Decimal("27.25")).alias("number"), F.lit(True).alias("flag"), F.lit("plum").alias("text"),
+        F.lit(dt.date(2023, 8, 19)).alias("day"), F.lit(T.parse_time("20:30:44")).cast("bigint").alias("clock"),
+        F.expr("timestamp_ntz'2023-08-19 20:30:44'").alias("moment"),
     )
 
 
@@ -317,10 +317,10 @@ def variables(t: Tables):
     return with_params.select("s_suppkey", F.expr("s_suppkey * y + x AS value"), F.expr("2D * pi() * s_suppkey AS circle"))
 
 
-@check("user_function", "SELECT s_suppkey, 1 + s_suppkey AS one_plus, -(1 + s_suppkey) AS negated FROM supplier")
+@check("user_function", "SELECT s_suppkey, 3 * s_suppkey - 2 AS stretched, (3 * s_suppkey - 2) % 7 AS wrapped FROM supplier")
 def user_function(t: Tables):
-    register_sql_function(t.spark, "onePlus;plusOne", "n BIGINT", "BIGINT", "1 + n")
-    return t.supplier.select("s_suppkey", F.expr("onePlus(s_suppkey)").alias("one_plus"), F.expr("-plusOne(s_suppkey)").alias("negated"))
+    register_sql_function(t.spark, "stretch;widen", "n BIGINT", "BIGINT", "3 * n - 2")
+    return t.supplier.select("s_suppkey", F.expr("stretch(s_suppkey)").alias("stretched"), F.expr("widen(s_suppkey) % 7").alias("wrapped"))
 
 
 @check(

@@ -16,6 +16,8 @@ from rowloom.functions.scalar import half_even_quotient
 
 AMOUNT = "decimal(38,4)"
 QUOTIENT_DIGITS = 16
+DIVISOR_DIGITS = 6
+DIVISOR = f"decimal(19,{DIVISOR_DIGITS})"
 
 
 def currency_digits(currency: Column) -> Column:
@@ -83,9 +85,19 @@ def money_minus(amount: Column, currency: Column, *others: tuple[Column, Column]
 
 
 def money_multiply(amount: Column, currency: Column, factor: Column) -> Column:
-    """Product rounded half-even to currency scale."""
-    factor = factor.cast("decimal(19,8)")
-    return _half_even(amount.cast("decimal(18,4)") * factor, currency)
+    """Product rounded half-even to currency scale.
+
+    Amounts have up to 14 and factors up to 7 digits before the point, and factors up to 12
+    after it, so that the product is exact before it is rounded; more raise.
+    """
+    return _half_even(amount.cast("decimal(18,4)") * _exact(factor, "decimal(19,12)", "factor"), currency)
+
+
+def _exact(value: Column, kind: str, name: str) -> Column:
+    """``value`` as a decimal of this kind; raises where that would round it away."""
+    held = value.cast(kind)
+    finer = F.raise_error(F.concat(F.lit(f"{name} has too many digits: "), value.cast("string"))).cast(kind)
+    return F.when(held.isNull() | (held.cast("double") == value.cast("double")), held).otherwise(finer)
 
 
 def _half_even(value: Column, currency: Column) -> Column:
@@ -95,10 +107,15 @@ def _half_even(value: Column, currency: Column) -> Column:
 
 
 def money_divide_round(amount: Column, currency: Column, divisor: Column) -> Column:
-    """Division carried to 16 digits half-even, then half-even to currency scale; amounts up to 18 digits."""
+    """Division carried to 16 digits half-even, then half-even to currency scale.
+
+    Amounts have up to 14 digits before the point, divisors up to 6 after it; more raise.
+    """
     shift = F.lit(Decimal(10**QUOTIENT_DIGITS)).cast("decimal(17,0)")
-    units = (amount.cast("decimal(18,4)") * shift).cast("decimal(38,0)")
-    carried = half_even_quotient(units, divisor.cast("decimal(9,0)"))
+    units = (amount.cast("decimal(18,4)") * shift).cast("decimal(32,0)")
+    scale = F.lit(Decimal(10**DIVISOR_DIGITS)).cast(f"decimal({DIVISOR_DIGITS + 1},0)")
+    whole_divisor = (_exact(divisor, DIVISOR, "divisor") * scale).cast("decimal(38,0)")
+    carried = half_even_quotient((units * scale).cast("decimal(38,0)"), whole_divisor)
 
     def at(digits: int) -> Column:
         step = F.lit(Decimal(10 ** (QUOTIENT_DIGITS - digits)))
@@ -111,12 +128,12 @@ def money_divide_round(amount: Column, currency: Column, divisor: Column) -> Col
 def money_divide(amount: Column, currency: Column, divisor: Column) -> Column:
     """Division that must come out even at currency scale."""
     share = money_divide_round(amount, currency, divisor)
-    even = (share * divisor.cast("decimal(9,0)")).cast(AMOUNT) == amount.cast(AMOUNT)
+    even = share.cast("decimal(18,4)") * divisor.cast(DIVISOR) == amount.cast("decimal(18,4)")
     return F.when(even, share).otherwise(F.raise_error(F.lit("division is not exact")).cast(AMOUNT))
 
 
 def money_remainder(amount: Column, divisor: Column) -> Column:
-    return (amount.cast(AMOUNT) % divisor.cast("decimal(9,0)")).cast(AMOUNT)
+    return (amount.cast(AMOUNT) % _exact(divisor, "decimal(13,4)", "divisor")).cast(AMOUNT)
 
 
 def money_compare(amount: Column, currency: Column, other: Column, other_currency: Column) -> Column:

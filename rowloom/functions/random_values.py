@@ -9,7 +9,7 @@ raise at run time.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
+from decimal import ROUND_CEILING, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -185,7 +185,11 @@ def decimal(draw: Column, lo=DECIMAL_DEFAULT[0], hi=DECIMAL_DEFAULT[1], scale: i
     lo, hi = Decimal(str(lo)), Decimal(str(hi))
     if lo >= hi:
         raise ValueError(f"empty range [{lo}, {hi})")
-    first, span = int(lo.scaleb(scale)), int((hi - lo).scaleb(scale))
+    # the first and the one past the last multiple of the scale's unit that lie in [lo, hi)
+    first, past = (int(x.scaleb(scale).to_integral_value(ROUND_CEILING)) for x in (lo, hi))
+    span = past - first
+    if span <= 0:
+        raise ValueError(f"no value with {scale} digits in [{lo}, {hi})")
     width = max(len(str(abs(first + span - 1))), len(str(abs(first))), scale + 1)
     if width > 38:
         raise ValueError("decimal bounds need more than 38 digits")

@@ -51,8 +51,6 @@ def _clock(draw: Column, anchor: str | None = None) -> Column:
     return temporal.time_text(temporal.random_time(draw, start))
 
 
-WORD_LETTERS = 96
-
 # SQL bodies see the draw as ``draw``; the helpers below spell out the shared parts.
 
 
@@ -111,6 +109,17 @@ def _spelled(alphabets: list[str], block: int, draw: str = "draw") -> str:
     return f"CAST(concat({', '.join(parts)}) AS STRING)"
 
 
+def _word() -> str:
+    """Blocks of letters, as many as the length takes, each spelled from a draw of its own."""
+    alphabets = ([rv.VOWELS, rv.CONSONANTS] * rv.WORD_BLOCK)[: rv.WORD_BLOCK]
+    source, used, parts = _bits(_element(0, "b")), 1, []
+    for letters in alphabets:
+        parts.append(f"substring('{letters}', CAST(1 + ({source} div {used}) % {len(letters)} AS INT), 1)")
+        used *= len(letters)
+    blocks = f"sequence(1, greatest(1, CAST((length + {rv.WORD_BLOCK - 1}) div {rv.WORD_BLOCK} AS INT)))"
+    return f"substr(array_join(transform({blocks}, b -> concat({', '.join(parts)})), ''), 1, length)"
+
+
 def _string() -> str:
     source = f"(CASE WHEN longest IS NULL THEN draw ELSE {_slot(1)} END)"
     size = f"CAST(CASE WHEN longest IS NULL THEN length ELSE length + {_bits(_slot(2))} % (longest - length) END AS INT)"
@@ -195,6 +204,12 @@ def _money() -> str:
     )
 
 
+def _ordered(value: str, kind: str) -> str:
+    """``value``, but an error for an empty range, as the column form gives when it is built."""
+    refused = f"raise_error(concat('empty range: ', CAST(lo AS STRING), ' to ', CAST(hi AS STRING)))"
+    return f"CASE WHEN lo < hi OR lo IS NULL OR hi IS NULL THEN {value} ELSE CAST({refused} AS {kind}) END"
+
+
 _TIME_OF_DAY = "(hour(anchor) * 3600 + minute(anchor) * 60 + second(anchor))"
 _NOW = "TIMESTAMP_NTZ DEFAULT localtimestamp()"
 
@@ -211,22 +226,21 @@ ENTRIES = [
     FunctionEntry("randomStateCode", "random", "", "STRING", "a state code", rv.state_code, _pick(words.STATE_CODES)),
     FunctionEntry("randomZipCode", "random", "", "STRING", "five digits", rv.zip_code, _zip()),
     FunctionEntry("randomCurrency", "random", "", "STRING", "a currency code", rv.currency, _pick(words.CURRENCIES)),
-    FunctionEntry("randomBigDecimal", "random", "lo BIGINT DEFAULT 0, hi BIGINT DEFAULT 18", "DECIMAL(20,2)",
+    FunctionEntry("randomBigDecimal", "random", "lo DECIMAL(17,2) DEFAULT 0, hi DECIMAL(17,2) DEFAULT 18", "DECIMAL(20,2)",
                   "uniform in [lo, hi) at two digits; specs may also give the scale", rv.decimal,
-                  f"CAST((lo * 100 + {_bits()} % ((hi - lo) * 100)) * 0.01BD AS DECIMAL(20,2))"),
+                  _ordered(f"CAST((CAST(lo * 100 AS BIGINT) + {_bits()} % nullif(CAST((hi - lo) * 100 AS BIGINT), 0)) * 0.01BD AS DECIMAL(20,2))", "DECIMAL(20,2)")),
     FunctionEntry("randomMoney", "random", "currency STRING DEFAULT NULL", "STRING", "amount and currency code",
                   rv.money_text, _money()),
     FunctionEntry("randomBoolean", "random", "", "BOOLEAN", "a fair coin", rv.boolean, f"{_bits()} % 2 = 0"),
     FunctionEntry("randomInt", "random", "lo BIGINT DEFAULT 0, hi BIGINT DEFAULT 2147483647", "INT",
-                  "uniform in [lo, hi)", rv.integer, f"CAST(lo + {_bits()} % (hi - lo) AS INT)"),
+                  "uniform in [lo, hi)", rv.integer, _ordered(f"CAST(lo + {_bits()} % nullif(hi - lo, 0) AS INT)", "INT")),
     FunctionEntry("randomLong", "random", "lo BIGINT DEFAULT 0, hi BIGINT DEFAULT 9223372036854775807", "BIGINT",
-                  "uniform in [lo, hi)", rv.long, "lo + shiftrightunsigned(draw, 1) % (hi - lo)"),
+                  "uniform in [lo, hi)", rv.long, _ordered("lo + shiftrightunsigned(draw, 1) % nullif(hi - lo, 0)", "BIGINT")),
     FunctionEntry("randomDouble", "random", "lo DOUBLE DEFAULT 0, hi DOUBLE DEFAULT 1.7976931348623157E308D", "DOUBLE",
-                  "uniform in [lo, hi)", rv.double, f"lo + {_bits()} / 4503599627370496.0D * (hi - lo)"),
+                  "uniform in [lo, hi)", rv.double, _ordered(f"lo + {_bits()} / 4503599627370496.0D * (hi - lo)", "DOUBLE")),
     FunctionEntry("randomString", "random", "length INT, longest INT DEFAULT NULL", "STRING",
                   "letters and digits, of one length or of a length in [length, longest)", rv.string, _string()),
-    FunctionEntry("randomWord", "random", "length INT", "STRING", f"vowels and consonants in turn, up to {WORD_LETTERS} in SQL", rv.word,
-                  f"substr({_spelled([rv.VOWELS, rv.CONSONANTS] * (WORD_LETTERS // 2), rv.WORD_BLOCK)}, 1, length)"),
+    FunctionEntry("randomWord", "random", "length INT", "STRING", "vowels and consonants in turn", rv.word, _word()),
     FunctionEntry("randomBytes", "random", "n INT", "BINARY", "n bytes", rv.random_bytes,
                   "unhex(substr(array_join(transform(sequence(1, greatest(1, CAST((n + 7) div 8 AS INT))), "
                   f"i -> {_hex(_element(0, 'i'))}), ''), 1, 2 * n))"),

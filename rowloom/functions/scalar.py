@@ -145,8 +145,8 @@ def eval_filter(df: DataFrame, predicate: str) -> DataFrame:
 
 # The suffixes of a row count.
 SUFFIXES = {"k": 10**3, "m": 10**6, "g": 10**9}
-COUNT_PATTERN = r"^([+-]?[0-9]+)([kKmMgG]?)$"
-DECIMAL_PATTERN = r"^([+-]?[0-9]*\.?[0-9]+)([kKmMgG]?)$"
+COUNT_PATTERN = r"^([+-]?[0-9]+)\s*([kKmMgG]?)$"
+DECIMAL_PATTERN = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))\s*([kKmMgG]?)$"
 
 
 def _suffix_factor(suffix: Column) -> Column:
@@ -156,11 +156,21 @@ def _suffix_factor(suffix: Column) -> Column:
     return out.cast("bigint")
 
 
-def _parsed(text: Column, pattern: str, kind: str) -> Column:
+def _parsed(text: Column, pattern: str, kind: str, digits: int = 0) -> Column:
     plain = F.replace(text, F.lit("_"), F.lit(""))
     number, suffix = F.regexp_extract(plain, pattern, 1), F.regexp_extract(plain, pattern, 2)
     refused = F.raise_error(F.concat(F.lit("not a count: "), text)).cast(kind)
-    value = (number.cast(kind) * _suffix_factor(suffix)).cast(kind)
+    if kind == "bigint":
+        value = (number.cast(kind) * _suffix_factor(suffix)).cast(kind)
+    else:
+        # the suffix moves the point of the text, so no digit is rounded away
+        size = F.length(F.regexp_extract(number, r"\.([0-9]*)", 1))
+        factor = _suffix_factor(suffix)
+        moved = F.concat(number, F.when(F.contains(number, F.lit(".")), F.lit("0")).otherwise(F.lit("")))
+        exact = F.concat(moved, F.when(factor == 10**9, F.lit("E9")).when(factor == 10**6, F.lit("E6")).when(factor == 10**3, F.lit("E3")).otherwise(F.lit("")))
+        places = size - F.when(factor == 10**9, 9).when(factor == 10**6, 6).when(factor == 10**3, 3).otherwise(0)
+        finer = F.raise_error(F.concat(F.lit("too many digits after the point: "), text)).cast(kind)
+        value = F.when(places > digits, finer).otherwise(exact.cast(kind))
     return F.when(text.isNull(), F.lit(None).cast(kind)).when(number == "", refused).otherwise(value)
 
 
@@ -169,9 +179,9 @@ def parse_count(text: Column) -> Column:
     return _parsed(text, COUNT_PATTERN, "bigint")
 
 
-def parse_count_decimal(text: Column) -> Column:
-    """``'15.5K'`` to 15500, as a decimal with six digits after the point."""
-    return _parsed(text, DECIMAL_PATTERN, "decimal(28,6)")
+def parse_count_decimal(text: Column, digits: int = 6) -> Column:
+    """``'15.5K'`` to 15500, as a decimal with so many digits after the point; a count that has more raises."""
+    return _parsed(text, DECIMAL_PATTERN, f"decimal({22 + digits},{digits})", digits)
 
 
 def count_of(text: str | int) -> int:

@@ -39,6 +39,19 @@ def _peel(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return rounds, pending
 
 
+def _cycle_edge(stuck: DataFrame):
+    """The first edge on a cycle, walked from the smallest node that is left to its smallest parent until one repeats."""
+    _, core = _peel(stuck.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
+    step = core.groupBy(F.col("parent").alias("child")).agg(F.min("child").alias("parent"))
+    step = reliable_checkpoint(step)
+    seen: dict = {}
+    edge = step.orderBy("child").first()
+    while edge["child"] not in seen:
+        seen[edge["child"]] = edge
+        edge = step.filter(F.col("child") == F.lit(edge["parent"])).first()
+    return edge
+
+
 def dependency_levels(edges: DataFrame) -> DataFrame:
     """(node, level): roots are level 0, others one more than their highest parent. Cycles raise."""
     if not self_references(edges).isEmpty():
@@ -46,7 +59,8 @@ def dependency_levels(edges: DataFrame) -> DataFrame:
         raise ValueError(f"self reference: {edge['child']}")
     rounds, stuck = _peel(edges)
     if not stuck.isEmpty():
-        edge = stuck.orderBy("child", "parent").first()
+        # what is left also holds nodes below a cycle; taking those away from the other side leaves cycles and the ways between them
+        edge = _cycle_edge(stuck)
         raise ValueError(f"cycle through {edge['child']} -> {edge['parent']}")
     levels = [nodes.select("node", F.lit(i).cast("bigint").alias("level")) for i, nodes in enumerate(rounds)]
     if not levels:

@@ -111,6 +111,12 @@ def ingest(
     if batch_id in snapshot.batch_ids:
         return False
     key = target.key
+    whole_key = F.lit(True)
+    for k in key:
+        whole_key = whole_key & F.col(k).isNotNull()
+    nameless = df.filter(~whole_key).take(1)
+    if nameless:
+        raise KeyConflict(f"null key {nameless[0].asDict()}")
     if mode == "upsert":
         target.upsert(last_per_key(df, key, order_by), batch_id, snapshot)
         if len(snapshot.upserts) + 1 >= MAX_UPSERT_SEGMENTS:
@@ -125,6 +131,11 @@ def ingest(
 # -- errors ------------------------------------------------------------------------------
 
 
+def refused(bad: Column) -> Column:
+    """A condition that cannot be judged counts against the row."""
+    return F.coalesce(bad, F.lit(True))
+
+
 def accepted_rows(df: DataFrame, bad: Column, method: str, chunk: str = "chunk_id", row: str = "row_index") -> DataFrame:
     """Rows that survive the bad ones.
 
@@ -134,7 +145,7 @@ def accepted_rows(df: DataFrame, bad: Column, method: str, chunk: str = "chunk_i
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    first_bad = df.filter(bad).groupBy(chunk).agg(F.min(row).alias("_first_bad"))
+    first_bad = df.filter(refused(bad)).groupBy(chunk).agg(F.min(row).alias("_first_bad"))
     if method in ("batch", "array"):
         return join_unique(df, first_bad.select(chunk), [chunk], "left_anti")
     joined = join_unique(df, first_bad, [chunk], "left")
@@ -146,6 +157,7 @@ def apply_error_policy(
 ) -> DataFrame:
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy}")
+    bad = refused(bad)
     if policy == "RETHROW":
         first = df.filter(bad).take(1)
         if first:
@@ -167,7 +179,7 @@ def apply_error_policies(
 
 def split_rejects(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantined rows)."""
-    flag = F.coalesce(bad, F.lit(True))
+    flag = refused(bad)
     return df.filter(~flag), df.filter(flag)
 
 

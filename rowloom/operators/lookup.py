@@ -74,18 +74,23 @@ def weighted_choice(
 
     The draw picks one unit of the total weight; the item owning that unit is found by an
     equality join on a coarse bucket of the running total, then a range condition inside it.
+    Items of weight zero are never drawn; null and negative weights raise, as does a total of zero.
     """
     order = [f"_order_{i}" for i in range(len(order_by))]
     listed = items.select(
-        F.col(value).alias(name), F.col(weight).cast("bigint").alias("_weight"),
+        F.col(value).alias(name), _checked_weight(F.col(weight)).alias("_weight"),
         *[F.col(c).alias(o) for c, o in zip(order_by, order)],
     )
     if is_small(listed, MAX_LITERALS):
         rows = listed.orderBy(*order).select(name, "_weight").take(MAX_LITERALS)
+        if not any(w for _, w in rows):
+            raise ValueError("the weights add up to nothing")
         chosen = _unit_choice(draw, [r[0] for r in rows], [r[1] for r in rows])
         return df.withColumn(name, chosen.cast(listed.schema[name].dataType))
     small = is_small(listed)
     total = listed.agg(F.sum("_weight")).first()[0]
+    if not total:
+        raise ValueError("the weights add up to nothing")
     runs = with_running_total(listed.filter("_weight > 0"), order, "_weight", "_end", small)
     width = max(1, total // max(1, index_size(listed)))
     start = F.col("_end") - F.col("_weight")
@@ -102,6 +107,12 @@ def weighted_choice(
     )
 
 
+def _checked_weight(weight: Column) -> Column:
+    whole = weight.cast("bigint")
+    bad = F.raise_error(F.concat(F.lit("not a weight: "), F.coalesce(weight.cast("string"), F.lit("null")))).cast("bigint")
+    return F.when(whole >= 0, whole).otherwise(bad)
+
+
 def _unit_choice(draw: Column, values: list, weights: list[int]) -> Column:
     """The item owning unit number ``draw mod total``."""
     total, ends, running = sum(weights), [], 0

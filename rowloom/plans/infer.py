@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from rowloom.plans.spec import Call, ColumnSpec, ForeignKey, Identity, TableSpec
 
 MAX_TEXT = 512
-MAX_ENUM = 50
 KEY_BATCH = 512
 
 # Column names with a generator of their own.
@@ -135,38 +134,38 @@ def infer_spec(
     return TableSpec(name, tuple(columns), rows, schema)
 
 
-def profile_text(df: DataFrame) -> dict[str, dict[str, int]]:
-    """Longest value and approximate distinct count of each text column, in one pass."""
+def text_lengths(df: DataFrame) -> dict[str, int]:
+    """Longest value of each text column, in one pass."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return {}
-    measures = [F.max(F.length(n)).alias(f"{i}_length") for i, n in enumerate(names)]
-    measures += [F.approx_count_distinct(n).alias(f"{i}_distinct") for i, n in enumerate(names)]
-    row = df.agg(*measures).first()
-    return {n: {"length": row[f"{i}_length"] or 0, "distinct": row[f"{i}_distinct"]} for i, n in enumerate(names)}
+    row = df.agg(*[F.max(F.length(n)).alias(str(i)) for i, n in enumerate(names)]).first()
+    return {n: row[str(i)] or 0 for i, n in enumerate(names)}
 
 
-def enum_values(df: DataFrame, columns: Sequence[str], limit: int = MAX_ENUM) -> dict[str, list[str]]:
-    """Values of the columns that have at most ``limit`` of them.
+def enum_values(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, list[str]]:
+    """Values of the columns that have at most ``limit`` of them, and at least one.
 
-    The distinct (column, value) pairs are formed for all columns in one
-    shuffle. Callers pick the columns by their approximate distinct count, so
-    few pairs come back; a column over the limit is left out.
+    Distinct values of all columns are counted exactly in one pass. Only the values of the
+    columns within the limit come to the driver, so a column of many values beside them
+    neither fills it nor pushes others out.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])).alias("pair")
-    distinct = df.select(pairs).select("pair.name", "pair.value").dropna().distinct()
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]))
+    distinct = df.select(named.alias("pair")).select("pair.name", "pair.value").dropna().distinct()
+    few = [r["name"] for r in distinct.groupBy("name").count().filter(F.col("count") <= limit).collect()]
+    if not few:
+        return {}
     found: dict[str, list[str]] = {}
-    for row in distinct.orderBy("name", "value").take(len(columns) * (2 * limit + 1)):
+    for row in distinct.filter(F.col("name").isin(few)).orderBy("name", "value").collect():
         found.setdefault(row["name"], []).append(row["value"])
-    return {name: values for name, values in found.items() if len(values) <= limit}
+    return found
 
 
-def infer_from_data(name: str, df: DataFrame, keys: KeySpec | None = None, limit: int = MAX_ENUM, rows: str | int = 0) -> TableSpec:
-    """Inference that also looks at the rows: text lengths and small value sets."""
-    profile = profile_text(df)
-    few = [n for n, p in profile.items() if p["distinct"] <= limit]
-    enums = enum_values(df, few, limit) if few else {}
-    return infer_spec(name, df, keys, enums, {n: p["length"] for n, p in profile.items()}, rows)
+def infer_from_data(name: str, df: DataFrame, limit: int, keys: KeySpec | None = None, rows: str | int = 0) -> TableSpec:
+    """Inference that also looks at the rows: text lengths, and value sets of at most ``limit`` values."""
+    lengths = text_lengths(df)
+    enums = enum_values(df, list(lengths), limit) if lengths else {}
+    return infer_spec(name, df, keys, enums, lengths, rows)
 
 
 COLUMN_SCHEMA = (

@@ -1,8 +1,8 @@
 """Avro object-container files of all-string records, as a Python data source.
 
 Used where the Avro module is not on the class path. Every task writes one
-file; a manifest written at commit names the files that count, so leftovers of
-failed or repeated tasks are never read. Files are read one per task.
+file; each write adds a manifest that names its files, so earlier writes stay and
+leftovers of failed or repeated tasks are never read. Files are read one per task.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 FORMAT = "avro_text"
 MAGIC = b"Obj\x01"
 BLOCK_ROWS = 1000
-MANIFEST = "_files.json"
+MANIFEST = "_files-"
 
 
 def _files(path: str):
@@ -32,6 +32,7 @@ def _files(path: str):
 
     if "://" in path:
         return fs.FileSystem.from_uri(path)
+    # a local master's own folder
     return fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
 
 
@@ -151,7 +152,8 @@ class AvroTextWriter(DataSourceWriter):
     def commit(self, messages):
         system, root = _files(self.path)
         listed = [{"file": m.file, "rows": m.rows} for m in messages if m is not None]
-        with system.open_output_stream(f"{root}/{MANIFEST}") as out:
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(listed).encode())
 
     def abort(self, messages):
@@ -171,9 +173,15 @@ class AvroTextReader(DataSourceReader):
         self.path = path
 
     def partitions(self):
+        from pyarrow import fs
+
         system, root = _files(self.path)
-        with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-            return [AvroFile(m["file"]) for m in json.loads(f.read()) if m["rows"]]
+        found = []
+        for info in system.get_file_info(fs.FileSelector(root)):
+            if info.base_name.startswith(MANIFEST):
+                with system.open_input_stream(info.path) as f:
+                    found += [AvroFile(m["file"]) for m in json.loads(f.read()) if m["rows"]]
+        return found
 
     def read(self, partition):
         system, root = _files(self.path)
@@ -197,13 +205,20 @@ class AvroTextSource(DataSource):
         return AvroTextWriter(self.options["path"], schema.fieldNames(), self.options.get("gzip", "false") == "true")
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the session's file system, so that all executors mean the same place."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+
+
 def write_avro(df: DataFrame, path: str, zipped: bool = False) -> None:
-    """All columns as strings; one container file per task."""
+    """All columns as strings; one container file per task. Adds to what was written before."""
     text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c) for c in df.columns])
     df.sparkSession.dataSource.register(AvroTextSource)
+    path = _qualified(df.sparkSession, path)
     text.write.format(FORMAT).option("path", path).option("gzip", str(zipped).lower()).mode("append").save()
 
 
 def read_avro(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     spark.dataSource.register(AvroTextSource)
-    return spark.read.format(FORMAT).option("path", path).option("columns", json.dumps(columns)).load()
+    return spark.read.format(FORMAT).option("path", _qualified(spark, path)).option("columns", json.dumps(columns)).load()

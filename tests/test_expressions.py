@@ -6,25 +6,26 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom.functions import money as M
 from rowloom.functions import registry as R
 from rowloom.functions.scalar import count_of, divide_keep_scale, integer_power, parse_count, parse_count_decimal, trim
 from rowloom.functions.temporal import parse_time, plus_date, plus_datetime, plus_time, time_text
 
-# Operators that bind looser in the older grammar are written with parentheses.
+# One case per rule: each operator, what binds tighter, grouping, signs, functions inside each other.
 ARITHMETIC = [
-    ("1+1", 2), ("1-2", -1), ("2*2", 4), ("4/2", 2), ("4%2", 0), ("pow(2,3)", 8), ("2*1+ 2", 4), ("2*(1+2)", 6),
-    ("1+ 2*2", 5), ("(1+ 2)*2", 6), ("(2*(1+ 2))*2", 12), ("(2*-(1+ 2))*2", -12), ("(2*-(1+ -2))*2", 4), ("1.5", 1.5),
-    ("0.5", 0.5), ("1.05 + 0.45", 1.5), ("least(10, 5)", 5), ("least(10, 5-2)", 3), ("least(8, 5)-2", 3),
-    ("greatest(10, 5)", 10), ("2 % 2", 0), ("2 % 4", 2), ("2 % (4-2)", 0), ("(2 % 4)-2", 0),
+    ("17 + 25", 42), ("17 - 25", -8), ("6 * 7", 42), ("45 / 8", 5.625), ("45 % 8", 5), ("-45 % 8", -5), ("7 - 3 - 2", 2),
+    ("64 / 4 / 2", 8), ("3 + 4 * 5", 23), ("(3 + 4) * 5", 35), ("20 - 6 / 3", 18), ("((9 - 4) * (1 + 1)) % 7", 3),
+    ("-(8 - 11)", 3), ("12.75 + 0.3", 13.05), ("least(31, 13, 22)", 13), ("greatest(least(4, 9), 6) * 2", 12),
+    ("pow(5, 3) - sqrt(81)", 116), ("abs(-2.5) * 4", 10),
 ]
 CONDITIONS = [
-    ("if(1>0,100,200)", 100), ("if(1>=2,100,200)", 200), ("if(1<=2,100,200)", 100), ("if(1==2,100,200)", 200),
-    ("if((1+2+3)*4 == 24,(1+2+3)*4,0)", 24), ("if(date'2016-01-02' > date'2016-01-01','yes','no')", "yes"),
-    ("if('a' in ('a','b','c'),1,0)", 1), ("if(not 'a' in ('a','b','c'),1,0)", 0), ("concat('a','b','c')", "abc"),
-    ("if(x == y,1,2)", 2), ("if(x == 5,1,2)", 1), ("if(-x >= y,1,2)", 2), ("if(x >= -y,1,2)", 1), ("if(x != y,y,x)", 10),
-    ("if(true,x+y,x-y)", 15), ("if(false,x+y,x-y)", -5), ("pow(3,pow(2,1+2))", 3.0**8), ("pi() * 2", 6.283185307179586),
+    ("if(y between 9 and 11, y * y, 0)", 100), ("if(x >= y or y = 10, 'one', 'two')", "one"),
+    ("if(x >= y and y = 10, 'one', 'two')", "two"), ("if(not (x > y), x, y)", 5), ("if(x <> 5, 'far', 'near')", "near"),
+    ("if(date'2023-03-01' > date'2023-02-28' and 'b' < 'c', 7, 8)", 7), ("if('pear' in ('fig', 'pear'), 3, 4)", 3),
+    ("if(x in (1, 2, 3), 3, 4)", 4), ("concat(if(y > x, 'up', 'down'), '-', y)", "up-10"),
+    ("case when x > y then 1 when x = y then 2 else 3 end", 3), ("coalesce(nullif(x, 5), y)", 10),
 ]
-REFUSED = ["132.2b", ")", "(1))", "1+", "1/", "1*", "*1", "/1", "(1", "1)", "(1*(1", "-'a'", "false+1", "1+false"]
+REFUSED = ["7 +", "* 7", "(7", "7)", "7 7 7", "'seven' * true", "noSuchName + 1", "if(1, 2, 3)", "pow(2)"]
 
 
 @pytest.mark.parametrize("text,expected", ARITHMETIC + CONDITIONS)
@@ -40,14 +41,14 @@ def test_refused_expression(spark, text):
 
 
 @pytest.mark.parametrize("text,expected", [
-    ("15", 15), (".15", ".15"), ("-.15", "-.15"), ("+1.15", "1.15"), ("15.5K", 15500), ("0.5M", 500000), ("100M", 10**8),
-    ("5G", 5 * 10**9), ("0K", 0), ("1_000k", 10**6), ("-5K", -5000),
+    ("42", 42), (".25", ".25"), ("-.75", "-.75"), ("+3.5", "3.5"), ("2.25k", 2250), ("0.125m", 125000), ("7 G", 7 * 10**9),
+    ("12.M", 12 * 10**6), ("1.2345678G", 1234567800), ("1_500.5 K", 1500500), ("-8k", -8000), ("0.123456789", "0.123456789"),
 ])
 def test_decimal_counts(spark, text, expected):
-    assert spark.range(1).select(parse_count_decimal(F.lit(text))).first()[0] == Decimal(str(expected))
+    assert spark.range(1).select(parse_count_decimal(F.lit(text), 9)).first()[0] == Decimal(str(expected))
 
 
-@pytest.mark.parametrize("text", ["100MM", "100B", "M", ""])
+@pytest.mark.parametrize("text", ["3KK", "3T", "G", "", ".", "k 3"])
 def test_bad_counts(spark, text):
     with pytest.raises(ValueError):
         count_of(text)
@@ -56,8 +57,10 @@ def test_bad_counts(spark, text):
             spark.range(1).select(parse(F.lit(text))).collect()
 
 
-def test_counts_on_the_driver():
-    assert [count_of(t) for t in ("10k", "2M", "1G", "1_5", "-5k", 7)] == [10_000, 2 * 10**6, 10**9, 15, -5000, 7]
+def test_counts_on_the_driver(spark):
+    given = ["10k", "2 M", "1G", "1_5", "-5k"]
+    assert [count_of(t) for t in given] == [10_000, 2 * 10**6, 10**9, 15, -5000] and count_of(7) == 7
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in given], "t string").select(parse_count(F.col("t"))).collect()] == [count_of(t) for t in given]
 
 
 @pytest.mark.parametrize("left,right,expected", [
@@ -98,7 +101,7 @@ def test_temporal_units(spark):
 
 SQL_FORMS = [
     ("randomString", "randomString(draw, 12)", (12,)), ("randomString", "randomString(draw, 200)", (200,)),
-    ("randomString", "randomString(draw, 3, 41)", (3, 41)), ("randomWord", "randomWord(draw, 30)", (30,)),
+    ("randomString", "randomString(draw, 3, 41)", (3, 41)), ("randomWord", "randomWord(draw, 30)", (30,)), ("randomWord", "randomWord(draw, 200)", (200,)),
     ("randomBytes", "randomBytes(draw, 20)", (20,)), ("randomLoreIpsum", "randomLoreIpsum(draw, 3, 9)", (3, 9)),
     ("randomLoreIpsum", "randomLoreIpsum(draw, 1, 3, true)", (1, 3, True)), ("randomJson", "randomJson(draw, 2, 2)", (2, 2)),
     ("randomDate", "randomDate(draw, date'2024-01-01')", ("2024-01-01",)),
@@ -106,6 +109,7 @@ SQL_FORMS = [
     ("randomDateTime", "randomDateTime(draw, timestamp_ntz'2024-01-01 10:20:30')", ("2024-01-01 10:20:30",)),
     ("selectRandom", "selectRandom(draw, array('a', 'b'))", ("a", "b")), ("randomBytesBase64", "randomBytesBase64(draw, 90)", (90,)),
     ("randomBigDecimal", "randomBigDecimal(draw, 3, 77)", (3, 77)), ("randomInt", "randomInt(draw, -5, 5)", (-5, 5)),
+    ("randomBigDecimal", "randomBigDecimal(draw, 0.5, 1.75)", ("0.5", "1.75")),
 ] + [(n, f"{n}(draw)", ()) for n in (
     "randomFirstName", "randomLastName", "randomFullName", "randomCity", "randomCountry", "randomEmail", "randomPhoneNumber",
     "randomState", "randomStateCode", "randomZipCode", "randomCurrency", "randomMoney", "randomBoolean", "randomInt", "randomLong",
@@ -121,6 +125,35 @@ def test_sql_functions_equal_column_builders(spark):
         assert pair.filter("NOT (a <=> b)").isEmpty(), text
 
 
+@pytest.mark.parametrize("text", ["randomInt(draw, 10, 5)", "randomLong(draw, 3, 3)", "randomDouble(draw, 10, 5)", "randomBigDecimal(draw, 2, 1)"])
+def test_empty_ranges_raise_in_sql(spark, text):
+    R.register_functions(spark)
+    with pytest.raises(Exception, match="empty range"):
+        spark.range(3).selectExpr("xxhash64(id) AS draw").select(F.expr(text)).collect()
+
+
+def test_decimal_bounds_finer_than_the_scale(spark):
+    drawn = spark.range(500).selectExpr("xxhash64(id) AS draw")
+    found = {r[0] for r in drawn.select(R.build_call(F.col("draw"), "randomBigDecimal", "0.005", "0.045", 2)).collect()}
+    assert found == {Decimal("0.01"), Decimal("0.02"), Decimal("0.03"), Decimal("0.04")}
+    with pytest.raises(ValueError, match="no value"):
+        R.build_call(F.col("draw"), "randomBigDecimal", "0.011", "0.019", 2)
+
+
+def test_money_by_fractions(spark):
+    usd = F.lit("USD")
+    amount = spark.range(1).select(
+        M.money_divide_round(F.lit(Decimal("100")), usd, F.lit(Decimal("2.5"))), M.money_divide_round(F.lit(Decimal("100")), usd, F.lit(Decimal("0.4"))),
+        M.money_divide_round(F.lit(Decimal("-7.01")), usd, F.lit(3.125)), M.money_divide(F.lit(Decimal("100")), usd, F.lit(Decimal("2.5"))),
+        M.money_multiply(F.lit(Decimal(10**9)), usd, F.lit(Decimal("1.000000001"))), M.money_multiply(F.lit(Decimal("9.99")), usd, F.lit(Decimal("0.123456789012"))),
+    ).first()
+    assert list(amount) == [Decimal(x) for x in ("40", "250", "-2.24", "40", "1000000001", "1.23")]
+    with pytest.raises(Exception, match="too many digits"):
+        spark.range(1).select(M.money_multiply(F.lit(Decimal("1")), usd, F.lit(Decimal("0.1234567890123")))).collect()
+    with pytest.raises(Exception, match="not exact"):
+        spark.range(1).select(M.money_divide(F.lit(Decimal("100")), usd, F.lit(Decimal("3")))).collect()
+
+
 def test_catalogue(spark):
     listed = R.functions_df(spark)
     assert listed.columns == ["name", "category", "args", "returns", "doc"]

@@ -102,18 +102,12 @@ def edges(spark, pairs):
     return spark.createDataFrame(pairs, "child string, parent string")
 
 
-SHOP = [("order_item", "order"), ("order_item", "product"), ("order", "customer"), ("product", "category")]
-DIAMOND = [("A", "B"), ("A", "C"), ("A", "D"), ("B", "D"), ("C", "E"), ("D", "E")]
-CATALOG = [
-    ("categorized_product", "product"), ("categorized_product", "category"), ("customer", "payment_method"),
-    ("customer_payment_method", "payment_method"), ("customer_payment_method", "customer"), ("orders", "customer"),
-    ("orders", "payment_method"), ("order_item", "product_variation"), ("order_item", "orders"),
-    ("product_attachment", "attachment"), ("product_attachment", "product"), ("product_tag", "product"),
-    ("product_variation", "product"), ("product_variation_attribute", "product_variation"),
-]
-
-
-@pytest.mark.parametrize("pairs", [SHOP, DIAMOND, CATALOG])
+TREE = [("leaf1", "twig"), ("leaf2", "twig"), ("twig", "branch"), ("branch", "trunk"), ("bird", "branch")]
+DIAMOND = [("roof", "wall_e"), ("roof", "wall_w"), ("wall_e", "floor"), ("wall_w", "floor"), ("roof", "floor"), ("floor", "ground")]
+LADDER = [(f"r{k}", f"r{j}") for k in range(9) for j in (k - 1, k - 3) if j >= 0]
+
+
+@pytest.mark.parametrize("pairs", [TREE, DIAMOND, LADDER])
 def test_parents_come_before_children(spark, pairs):
     order = [r["node"] for r in load_order(edges(spark, pairs)).collect()]
     assert all(order.index(p) < order.index(c) for c, p in pairs) and len(order) == len({n for e in pairs for n in e})
@@ -123,15 +117,15 @@ def test_parents_come_before_children(spark, pairs):
 
 def test_levels_and_neighbours(spark):
     levels = dict(dependency_levels(edges(spark, DIAMOND)).collect())
-    assert levels == {"E": 0, "D": 1, "C": 1, "B": 2, "A": 3}
-    assert {r[0] for r in adjacent(edges(spark, DIAMOND), "A").collect()} == {"B", "C", "D"}
+    assert levels == {"ground": 0, "floor": 1, "wall_e": 2, "wall_w": 2, "roof": 3}
+    assert {r[0] for r in adjacent(edges(spark, DIAMOND), "roof").collect()} == {"wall_e", "wall_w", "floor"}
 
 
 def test_cycles(spark):
-    cyclic = edges(spark, DIAMOND + [("E", "A"), ("Z", "Y")])
+    cyclic = edges(spark, DIAMOND + [("ground", "roof"), ("moss", "stone")])
     with pytest.raises(ValueError, match="cycle"):
         dependency_levels(cyclic)
-    assert {r[0] for r in cyclic_nodes(cyclic).collect()} == set("ABCDE")
+    assert {r[0] for r in cyclic_nodes(cyclic).collect()} == {"roof", "wall_e", "wall_w", "floor", "ground"}
     with pytest.raises(ValueError, match="self reference: category"):
         dependency_levels(edges(spark, [("category", "category")]))
 

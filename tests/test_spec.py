@@ -4,11 +4,11 @@ from pyspark.sql import types as T
 from rowloom.plans.infer import ForeignKeySpec, KeySpec, infer_spec, list_columns, list_keys, list_tables
 from rowloom.plans.spec import Call, ColumnSpec, ForeignKey, Identity, Range, TableSpec, ValueSet
 
-LEDGER_ITEM = T.StructType([
-    T.StructField("transaction_id", T.StringType(), metadata={"sql_type": "uuid"}),
-    T.StructField("account_id", T.StringType(), metadata={"sql_type": "uuid"}),
-    T.StructField("city", T.StringType()), T.StructField("amount", T.DecimalType(19, 2)),
-    T.StructField("currency", T.StringType()), T.StructField("note", T.StringType(), metadata={"length": 20}),
+PARCEL = T.StructType([
+    T.StructField("parcel_id", T.StringType(), metadata={"sql_type": "uuid"}),
+    T.StructField("depot_id", T.StringType(), metadata={"sql_type": "uuid"}),
+    T.StructField("city", T.StringType()), T.StructField("weight", T.DecimalType(19, 2)),
+    T.StructField("currency", T.StringType()), T.StructField("remark", T.StringType(), metadata={"length": 20}),
     T.StructField("payload", T.StringType(), metadata={"sql_type": "json"}), T.StructField("at", T.TimestampNTZType()),
     T.StructField("raw", T.BinaryType(), metadata={"length": 4000}), T.StructField("first_name", T.StringType()),
 ])
@@ -48,14 +48,14 @@ def test_precedence():
 
 
 def test_inference_of_types_names_and_keys():
-    keys = KeySpec(("transaction_id", "account_id"), (ForeignKeySpec(("transaction_id",), "transaction", ("id",)),))
-    spec = infer_spec("item", LEDGER_ITEM, keys, enums={"currency": ["USD", "EUR"]})
-    assert spec.column("transaction_id").foreign_key == ForeignKey("transaction", "id")
-    assert spec.column("account_id").identity == Identity("uuid")
+    keys = KeySpec(("parcel_id", "depot_id"), (ForeignKeySpec(("parcel_id",), "transaction", ("id",)),))
+    spec = infer_spec("item", PARCEL, keys, enums={"currency": ["USD", "EUR"]})
+    assert spec.column("parcel_id").foreign_key == ForeignKey("transaction", "id")
+    assert spec.column("depot_id").identity == Identity("uuid")
     calls = {c.name: (c.call.name, c.call.args) for c in spec.columns if c.call}
     assert calls == {
-        "city": ("randomCity", ()), "amount": ("randomBigDecimal", (0, 10**17, 2)), "currency": ("selectRandom", ("USD", "EUR")),
-        "note": ("randomString", (20,)), "payload": ("randomJson", (1, 1)), "at": ("randomDateTime", ()),
+        "city": ("randomCity", ()), "weight": ("randomBigDecimal", (0, 10**17, 2)), "currency": ("selectRandom", ("USD", "EUR")),
+        "remark": ("randomString", (20,)), "payload": ("randomJson", (1, 1)), "at": ("randomDateTime", ()),
         "raw": ("randomBytesBase64", (512,)), "first_name": ("randomString", (512,)),
     }
 
@@ -77,10 +77,10 @@ def test_text_primary_key_keeps_its_generator():
 
 
 def test_listings(spark):
-    keys = KeySpec(("transaction_id",), (ForeignKeySpec(("account_id",), "account", ("id",)),))
-    columns = list_columns(spark, "item", LEDGER_ITEM, keys)
-    assert len(columns.columns) == 10 and columns.count() == len(LEDGER_ITEM.fields)
-    assert columns.filter("column_name = 'amount'").first()["precision"] == 19
+    keys = KeySpec(("parcel_id",), (ForeignKeySpec(("depot_id",), "account", ("id",)),))
+    columns = list_columns(spark, "item", PARCEL, keys)
+    assert len(columns.columns) == 10 and columns.count() == len(PARCEL.fields)
+    assert columns.filter("column_name = 'weight'").first()["precision"] == 19
     assert list_keys(spark, {"item": keys}).count() == 2
     spark.range(1).createOrReplaceTempView("listed")
     assert not list_tables(spark).filter("name = 'listed'").isEmpty()
