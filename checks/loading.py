@@ -409,13 +409,19 @@ def reconcile(t: Tables):
 # -- streaming ----------------------------------------------------------------------------------
 
 
+SLICES = (1, 1994, 1996, 1997, 9999)
+
+
 def stream_query(name: str, mode: str, sql: str):
     @check(name, sql)
     def run(t: Tables):
         source, work = scratch_path(t.spark, "source"), scratch_path(t.spark, "stream")
-        t.lineitem.repartitionByRange(4, "l_orderkey").write.parquet(source)
+        # slices in order of arrival, so that keys come back in later batches
+        for first, past in zip(SLICES, SLICES[1:]):
+            part = t.lineitem.filter(f"l_shipdate >= timestamp_ntz'{first:04d}-01-01 00:00:00' AND l_shipdate < timestamp_ntz'{past:04d}-01-01 00:00:00'")
+            part.coalesce(1).write.mode("append").parquet(source)
         target = line_target(t, None)
-        stream = read_files(t.spark, source, t.lineitem.schema, files_per_batch=2)
+        stream = read_files(t.spark, source, t.lineitem.schema, files_per_batch=1)
         stream_ingest(stream, target, ARRIVAL, mode, f"{work}/checkpoint")
         return target.read().select(*SHOWN_COLUMNS)
 

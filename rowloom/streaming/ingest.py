@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,16 +29,28 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Apply every micro-batch to the target until the available input is used up.
 
-    A batch repeated after a failure carries the same id and is skipped.
+    A batch repeated after a failure carries the same id and is skipped. Each batch leaves a
+    line (id, rows, milliseconds) beside the checkpoint, however long the stream runs.
     """
+    log = f"{checkpoint.rstrip('/')}-progress"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        ingest(batch, target, order_by, mode, batch_id)
+        start = time.monotonic()
+        batch.persist()  # counted, checked and written: three passes over the source otherwise
+        try:
+            rows = batch.count()
+            ingest(batch, target, order_by, mode, batch_id)
+        finally:
+            batch.unpersist()
+        spent = int(1000 * (time.monotonic() - start))
+        line = batch.sparkSession.createDataFrame([(batch_id, rows, spent)], PROGRESS)
+        line.coalesce(1).write.mode("append").json(log)
 
     query = (
         stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    query.progress_log = log
     return query
 
 
@@ -50,7 +63,8 @@ def generated_stream(spark: SparkSession, spec: TableSpec, rows_per_batch: int,
 
 
 def progress_frame(query: StreamingQuery) -> DataFrame:
-    """Rows and duration of each recent micro-batch."""
+    """Rows and duration of every micro-batch of a finished ingest; of a batch that was repeated, the last try."""
     spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
-    seen = [(p["batchId"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0)) for p in query.recentProgress]
-    return spark.createDataFrame(seen, PROGRESS)
+    log = spark.read.schema(PROGRESS).json(query.progress_log)
+    last = F.max_by(F.struct("rows", "millis"), F.struct("rows", "millis")).alias("last")
+    return log.groupBy("batch_id").agg(last).select("batch_id", "last.rows", "last.millis")
