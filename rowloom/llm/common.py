@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +76,27 @@ def linked_groups(edges: DataFrame, left: str = "a", right: str = "b") -> DataFr
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select("v", "v").distinct()
     )
+
+
+def banded_links(pool: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): links that join the same groups as all true links between nodes with a band in common.
+
+    ``pool`` is stored and has (node, bands), ``verify`` gives the true ones of stored pairs (a, b).
+    First each node is compared with one node of each of its buckets; then all nodes of a bucket
+    that are not in one group by that. So a large group of close nodes costs no pair for every two.
+    """
+    dealt = pool.select("node", F.explode("bands").alias("bucket"))
+    leads = dealt.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("bucket", "lead")
+    shared = keep(dealt.join(leads, "bucket"), "shared_buckets")
+    star = keep(shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
+    links = keep(verify(star), "lead_links")
+    groups = linked_groups(links)
+    placed = shared.join(groups.withColumnRenamed("component", "part"), "node", "left")
+    placed = keep(placed.select("bucket", "lead", "node", F.coalesce("part", "node").alias("part")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+    mixed = mixed.where("low < high and n > 2").select("bucket")
+    left = placed.join(mixed, "bucket", "left_semi").where("node <> lead")
+    a, b = left.alias("a"), left.alias("b")
+    rest = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.part") != F.col("b.part")))
+    rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    return links.union(verify(keep(rest, "candidates")))

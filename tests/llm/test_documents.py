@@ -323,6 +323,29 @@ def test_line_dedup(spark):
     assert [r.text for r in line_dedup.drop_repeated_lines(docs).collect()] == ["a b\nc d"] * 2
 
 
+def test_line_dedup_links_by_edit_similarity_alone(spark):
+    draw = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def word():
+        return "".join(draw.choices(letters, k=draw.randint(3, 9)))
+
+    base = [" ".join(word() for _ in range(n)) for n in (3, 4, 8, 27, 50) for _ in range(40)]
+
+    def typos(line):
+        words = line.split(" ")
+        for k in draw.sample(range(len(words)), max(1, len(words) // 10)):
+            at = draw.randrange(len(words[k]))
+            words[k] = words[k][:at] + draw.choice(letters) + words[k][at + 1:]
+        return " ".join(words)
+
+    found = line_dedup.drop_repeated_lines(make(spark, base + [typos(x) for x in base])).collect()
+    kept = {r.doc_id: r.text for r in found}
+    assert [kept[k] for k in range(200)] == base  # unrelated lines stay
+    gone = [kept[200 + k] == "" for k in range(200)]
+    assert all(sum(gone[k:k + 40]) >= 36 for k in range(0, 200, 40)), [sum(gone[k:k + 40]) for k in range(0, 200, 40)]
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_edit_similarity_of_lines(spark, similarity):
     draw = random.Random(6)
