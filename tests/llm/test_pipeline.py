@@ -3,9 +3,9 @@
 import random
 
 import corpus_pipeline
-from rowloom.llm import packing
+from rowloom.llm import packing, shingle_dedup
 
-from .test_documents import WORDS, brute_fingerprint, brute_groups, brute_lines
+from .test_documents import WORDS, brute_fingerprint, brute_groups, brute_lines, make
 
 
 def test_stages(spark, tmp_path):
@@ -39,3 +39,28 @@ def test_stages(spark, tmp_path):
     packed = results[-1][2]
     assert packed.columns == [c.split()[0] for c in packing.PACKED.split(", ")]
     assert {r.doc_id for r in packed.collect()} == set(after["source_mixing"])
+
+
+def test_near_copies_by_jaccard_of_shingles(spark):
+    draw = random.Random(4)
+    vocabulary = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = []
+    for n in [7, 40, 150, 600] * 10:
+        words = draw.choices(vocabulary, k=n)
+        for changed in (0, 1, n // 60, n // 45, n // 30):
+            other = list(words)
+            for at in draw.sample(range(n), changed):
+                other[at] = draw.choice(vocabulary)
+            texts.append(" ".join(other))
+    texts += [None, "", " ", "one", "ONE", "one two"]
+
+    def parts(text):
+        words = (text or "").lower().split()
+        return {tuple(words[k:k + min(5, len(words))]) for k in range(len(words) - min(5, len(words)) + 1)}
+
+    sets = [parts(t) for t in texts]
+    want = brute_groups(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert {r.doc_id: r.component_id for r in shingle_dedup.near_copies(make(spark, texts)).collect()} == want
+    kept = corpus_pipeline.drop_near_copies(spark, make(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert shingle_dedup.near_copies(make(spark, texts).limit(0)).count() == 0
