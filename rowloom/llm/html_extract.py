@@ -2,11 +2,12 @@
 
 The pages of a host are merged into one tree of styles: a node is the path of tags with
 their classes and ids from the root. For each node the tree knows how differently the
-pages fill it: the entropy of the child sequences it shows (presentation) and, over the
-texts directly inside it, the entropy of their contents, both relative to the number of
-pages. A node that every page fills in the same way is site furniture; one that every page
-fills differently is content. A branch whose importance (the larger of its own and that of
-the nodes below) stays under a threshold is removed from every page of the host.
+pages fill it: on what share of the pages that have the node a child sequence (presentation) or a
+text directly inside it (content) does not stand, on average. That share does not depend on
+the number of pages. A node that every page fills in the same way is site furniture; one that
+every page fills differently is content. A branch outside the main element whose importance
+(the larger of its own and that of the nodes below) stays under a threshold is removed from
+every page of the host. Inside a main element nothing is judged so.
 
 Statistics need several pages, and tell nothing about furniture that varies. So branches
 whose tag, role, class or id names them as navigation, header, footer, sidebar, notice,
@@ -160,18 +161,22 @@ def digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def describe(root: Node) -> Iterator[tuple[str, int, int]]:
-    """(style path, digest of the child sequence, digest of the text) of each important element that is a block."""
-    stack = [(root, "")]
+def describe(root: Node) -> Iterator[tuple[str, bool, int | None, int | None]]:
+    """(style path, inside a main element, digest of the child sequence, of the text) of each important element that is a block.
+
+    Besides, each path with nulls, so that a set of these says that the page has it.
+    """
+    stack = [(root, "", False)]
     while stack:
-        node, path = stack.pop()
+        node, path, main = stack.pop()
         for child in node.children:
             if isinstance(child, Node) and child.important:
                 below = f"{path}/{child.style}"
                 if child.tag in BLOCK and child.tag not in ("br", "html", "body"):
                     kinds = "|".join(c.style for c in child.children if isinstance(c, Node) and c.tag in BLOCK)
-                    yield below, digest(kinds), digest(direct_text(child))
-                stack.append((child, below))
+                    yield below, main or child.main, digest(kinds), digest(direct_text(child))
+                    yield below, main or child.main, None, None
+                stack.append((child, below, main or child.main))
 
 
 def blocks(root: Node, removed: frozenset[str]) -> str:
@@ -223,30 +228,33 @@ def unimportant(pages: DataFrame) -> DataFrame:
                 found = set(describe(parse(source.as_py() or "")))
                 rows += [(host, *x) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, [pa.string(), pa.string(), pa.int64(), pa.int64()])],
-                ["host", "path", "kinds", "content"],
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()])],
+                ["host", "path", "main", "kinds", "content"],
             )
 
-    seen = pages.select("host", "html").mapInArrow(nodes, "host string, path string, kinds long, content long")
+    seen = pages.select("host", "html").mapInArrow(nodes, "host string, path string, main boolean, kinds long, content long")
     # a page's node in a style counts once; values are counted before they meet, so a hot host arrives as sums
-    counted = seen.groupBy("host", "path", "kinds", "content").agg(F.count("*").alias("n"))
+    counted = seen.groupBy("host", "path", "main", "kinds", "content").agg(F.count("*").alias("n"))
     counted = keep(counted, "style_tree")
 
-    def relative_entropy(value: str, name: str) -> DataFrame:
-        n = counted.groupBy("host", "path", value).agg(F.sum("n").alias("n"))
-        total = n.groupBy("host", "path").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("spread"))
-        value = (F.log("total") - F.col("spread") / F.col("total")) / F.nullif(F.log("total"), F.lit(0.0))
-        return total.select("host", "path", "total", F.coalesce(value, F.lit(1.0)).alias(name))
+    # pages that have a path; one with the path inside and outside of main elements counts for both
+    having = counted.where("content is null").groupBy("host", "path").agg(F.sum("n").alias("having"), F.max("main").alias("main"))
+
+    def variety(value: str, name: str) -> DataFrame:
+        n = counted.where("content is not null").groupBy("host", "path", value).agg(F.sum("n").alias("n")).join(having, ["host", "path"])
+        repeated = F.sum(F.col("n") * F.least(F.lit(1.0), F.col("n") / F.col("having"))) / F.sum("n")
+        return n.groupBy("host", "path").agg(F.sum("n").alias("total"), F.max("main").alias("main"), (1 - repeated).alias(name))
 
-    presentation, content = relative_entropy("kinds", "presentation"), relative_entropy("content", "content")
+    presentation, content = variety("kinds", "presentation"), variety("content", "content").drop("main")
     size = pages.groupBy("host").agg(F.count("*").alias("pages"))
     importance = presentation.join(content.drop("total"), ["host", "path"]).join(size, "host")
     importance = importance.withColumn("importance", F.greatest("presentation", "content"))
     enough = (F.col("total") >= MIN_PAGES) & (F.col("total") >= MIN_SHARE * F.col("pages"))
     varied = importance.where(enough).groupBy("host").agg(F.max("importance").alias("top")).where(F.col("top") >= MIN_VARIETY)
-    low = importance.where(enough & (F.col("importance") < MIN_IMPORTANCE)).join(varied, "host", "left_semi")
+    judged = enough & ~F.col("main") & (F.col("importance") < MIN_IMPORTANCE)
+    low = importance.where(judged).join(varied, "host", "left_semi")
     # a branch goes only if nothing below it matters
-    paths = importance.where(~enough | (F.col("importance") >= MIN_IMPORTANCE)).groupBy("host").agg(F.collect_set("path").alias("kept"))
+    paths = importance.where(~judged).groupBy("host").agg(F.collect_set("path").alias("kept"))
     low = low.groupBy("host").agg(F.collect_set("path").alias("low")).join(paths, "host", "left")
     empty = F.array().cast("array<string>")
     removed = F.filter("low", lambda p: ~F.exists(F.coalesce("kept", empty), lambda k: F.startswith(k, F.concat(p, F.lit("/")))))

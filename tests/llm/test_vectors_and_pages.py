@@ -101,3 +101,22 @@ def test_site_furniture_without_a_name_is_found(spark):
     assert found[100] == "Same words everywhere Own text x and x more"  # one page tells nothing
     assert found[201] == "Same words everywhere Own text z and z more"  # nor do copies of one page
     assert html_extract.main_texts(frame.limit(0)).count() == 0
+
+
+def test_main_text_does_not_depend_on_the_size_of_the_host(spark):
+    page = (
+        "<body><div class='strip'><p>Same words everywhere</p></div><article><h2>Ingredients</h2><p>Own {0}</p><h2>Method</h2>"
+        "<ul><li>{1}</li></ul><table><tr><td>yes</td><td>no</td></tr></table></article><div class='edge'><p>Ask {1}</p></div></body>"
+    )
+    plain = "<body><div class='strip'><p>Same words everywhere</p></div><div class='text'><p>Own {0}</p></div><div class='edge'><p>Ask {1}</p></div></body>"
+    rows = []
+    for m in (8, 100, 5000):
+        for k in range(m):
+            rows += [(len(rows), f"http://main{m}.example/{k}", page.format(k, "ab"[k % 2]))]
+            rows += [(len(rows), f"http://plain{m}.example/{k}", plain.format(k, "ab"[k % 2]))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.url: r.text for r in html_extract.main_texts(frame).where("url rlike '/[0-7]$'").collect()}
+    for m in (8, 100, 5000):
+        for k in range(8):
+            assert found[f"http://main{m}.example/{k}"] == f"Ingredients Own {k} Method {'ab'[k % 2]} yes no"
+            assert found[f"http://plain{m}.example/{k}"] == f"Own {k} Ask {'ab'[k % 2]}"
