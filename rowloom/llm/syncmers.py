@@ -2,9 +2,9 @@
 
 A k-mer of code points is a closed syncmer if the smallest hash among its inner s-mers is
 that of its first or its last one. Whether a k-mer is chosen depends on the k-mer alone, so
-a passage has the same anchors wherever it stands. A fingerprint is the ascending list of
-the ANCHORS smallest 32-bit hashes of a text's distinct anchors, eight hex digits each: a
-sketch from which the overlap of two texts' anchor sets is estimated without bias.
+a passage has the same anchors wherever it stands. Texts are compared by the 32-bit hashes of
+all their distinct anchors. Of these a printed fingerprint has the ANCHORS smallest, ascending,
+eight hex digits each: a sketch. ``document_anchors`` gives all anchors with their positions.
 """
 
 from __future__ import annotations
@@ -62,30 +62,48 @@ def anchors(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.
     return at, whole[at]
 
 
-def fingerprint(points: np.ndarray, k: int = K) -> np.ndarray:
-    """The smallest distinct 32-bit anchor hashes, ascending. A text without anchors is one as a whole; an empty one has none."""
-    if not len(points):
-        return np.empty(0, np.uint32)
-    best = np.empty(0, np.uint32)
+def placed_anchors(points: np.ndarray, k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and 32-bit hashes of all anchors, piece by piece. A text without anchors is one as a whole; an empty one has none."""
+    none = True
     for at in range(0, len(points) - k + 1, CHARS_AT_ONCE):
-        _, found = anchors(points[at:at + CHARS_AT_ONCE + k - 1])
-        best = np.unique(np.concatenate((best, (mix(found) >> np.uint64(32)).astype(np.uint32))))[:ANCHORS]
-    if not len(best):  # no anchor: the text as a whole is one
-        return np.array([np.uint64(int.from_bytes(sha256(points.tobytes()).digest()[:4]))], np.uint32)
-    return best
+        where, found = anchors(points[at:at + CHARS_AT_ONCE + k - 1], k)
+        none = none and not len(where)
+        yield where + at, (mix(found) >> np.uint64(32)).astype(np.uint32)
+    if none and len(points):
+        yield np.zeros(1, np.int64), np.array([int.from_bytes(sha256(points.tobytes()).digest()[:4])], np.uint32)
+
+
+def fingerprint(points: np.ndarray, k: int = K) -> np.ndarray:
+    """All distinct 32-bit anchor hashes of a text, ascending."""
+    found = [np.unique(hashes) for _, hashes in placed_anchors(points, k)]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the two texts' anchors that both have, estimated from the smallest of their union."""
+    """Share of the two texts' distinct anchors that both have."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    size = ANCHORS if max(len(a), len(b)) >= ANCHORS else len(a) + len(b)
-    union = np.union1d(a, b)[:size]
-    return float((np.isin(union, a) & np.isin(union, b)).sum() / len(union))
+    union = len(np.union1d(a, b))
+    return (len(a) + len(b) - union) / union
 
 
 def text_of(mark: np.ndarray) -> str:
-    return mark.astype(">u4").tobytes().hex()
+    return mark[:ANCHORS].astype(">u4").tobytes().hex()
+
+
+def document_anchors(docs: DataFrame) -> DataFrame:
+    """(doc_id, position, hash) of every anchor of every text, positions in code points from 0; for matching passages by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for where, hashes in placed_anchors(code_points(text.as_py() or "")):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc] * len(where), pa.int64()), pa.array(where, pa.int64()), pa.array(hashes.astype(np.int64))],
+                        ["doc_id", "position", "hash"],
+                    )
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, position long, hash long")
 
 
 def in_order(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:

@@ -174,6 +174,21 @@ def test_fingerprints(spark, texts):
     assert sorted(r.n_chars for r in syncmers.document_fingerprints(odd).collect()) == [0, 2, 2, 4]
 
 
+def test_long_texts_are_compared_by_all_anchors(spark):
+    draw = random.Random(31)
+    first, second = ("".join(draw.choices("abcdefghij ", k=100_000)) for _ in range(2))
+    second = second[:50_000] + first[20_000:20_400] + second[50_000:]
+    near = {r.doc_id: r.near_next for r in syncmers.document_fingerprints(make(spark, [first, second])).collect()}
+    marks = [set(syncmers.anchors(syncmers.code_points(t))[1].tolist()) for t in (first, second)]
+    want = len(marks[0] & marks[1]) / len(marks[0] | marks[1])
+    assert want > 0 and near == pytest.approx({0: want, 1: want}, rel=1e-3)  # 32-bit hashes may meet by chance
+    rows = syncmers.document_anchors(make(spark, [first, second, "", None])).collect()
+    places = [{r.hash: r.position for r in rows if r.doc_id == k} for k in (0, 1)]
+    assert [r.position for r in rows if r.doc_id == 0] == syncmers.anchors(syncmers.code_points(first))[0].tolist()
+    moved = [places[1][h] - places[0][h] for h in places[0].keys() & places[1].keys()]
+    assert len(moved) > 20 and set(moved) == {30_000} and {r.doc_id for r in rows} == {0, 1}
+
+
 def test_closed_syncmers_by_definition():
     points = np.random.default_rng(1).integers(97, 107, 400).astype(np.uint32)
     inner = syncmers.window_hash(points, syncmers.S)
