@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import embedding_dedup, html_extract, language_id, line_dedup, mixing, packing, simhash_dedup, syncmers, token_counts, toxicity
+from rowloom.llm import conversation_repair, embedding_dedup, html_extract, language_id, line_dedup, mixing, packing, simhash_dedup, syncmers, token_counts, toxicity
 from rowloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,23 @@ def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.main_texts(table(spark, folder, "pages"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Damage the conversations by a checksum of (conversation, turn), then repair them."""
+    rows = table(spark, folder, "conversations")
+    said = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")]
+    place = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c else F.lit(":") for c in ("conv_id", "", "turn")])
+    rows = rows.select("conv_id", "turn", *said, (F.crc32(place.cast("binary")) % 20).alias("damage"))
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    damaged = rows.where("damage <> 0").withColumn("text", text).withColumn("role", F.when(F.col("damage") == 4, "user").otherwise(F.col("role")))
+    damaged = damaged.withColumn("copy", F.explode(F.when(F.col("damage") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    found = conversation_repair.repair_conversations(damaged.select("conv_id", "turn", "role", "text")).alias("f")
+    ids = rows.select("conv_id").distinct().alias("i")
+    joined = ids.join(found, F.col("i.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
+    zeros = [F.coalesce(F.col(f"f.{c}"), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(
+        "i.conv_id", *zeros, F.coalesce("f.audit", F.lit("")).alias("audit"),
+        F.coalesce("f.repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
