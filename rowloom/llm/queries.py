@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import conversation_repair, embedding_dedup, hard_negatives, html_extract, language_id, line_dedup, mixing, packing, simhash_dedup, syncmers, token_counts, toxicity
+from rowloom.llm import conversation_repair, embedding_dedup, hard_negatives, html_extract, language_id, line_dedup, mixing, packing, simhash_dedup, substring_dedup, syncmers, token_counts, toxicity
 from rowloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,33 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.drop_repeats(table(spark, folder, "documents"), size=35)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op12_substring_dedup"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM documents
+), windows AS (
+    SELECT row, start, array_to_string(words[start:start + 34], ' ') AS said
+    FROM (SELECT row, words, unnest(generate_series(1, len(words) - 34)) AS start FROM d WHERE len(words) >= 35)
+), repeated AS (
+    SELECT row, start FROM windows QUALIFY count(*) OVER (PARTITION BY said) > 1
+), gone AS (
+    SELECT row, list(DISTINCT start + step) AS places FROM repeated, (SELECT unnest(generate_series(0, 34)) AS step) GROUP BY row
+), kept AS (
+    SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+        CASE WHEN places IS NULL THEN words ELSE list_transform(list_filter(list_zip(words, generate_series(1, len(words))),
+            lambda x: NOT list_contains(places, x[2])), lambda x: x[1]) END AS words
+    FROM d LEFT JOIN gone USING (row)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 @query
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
