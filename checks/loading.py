@@ -8,6 +8,7 @@ from rowloom.operators import ingest as I
 from rowloom.operators import metrics as M
 from rowloom.sources import text as X
 from rowloom.sources.avro import read_avro, write_avro
+from rowloom.sources.ids import IdBlocks
 from rowloom.sources.target import FileTarget
 from rowloom.session import scratch_path
 from rowloom.streaming.ingest import read_files, stream_ingest
@@ -263,6 +264,36 @@ def upsert_partial(t: Tables):
     return I.upsert_rows(t.lineitem.filter("l_returnflag = 'R'"), base, LINE_KEY, ARRIVAL).select(*SHOWN_COLUMNS)
 
 
+@check(
+    "upsert_pruned",
+    """WITH top AS (SELECT max(o_orderkey) AS k FROM orders)
+       SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey BETWEEN k // 2 AND k // 2 + k // 100 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+       o_orderdate FROM orders, top""",
+)
+def upsert_pruned(t: Tables):
+    """A batch of one hundredth of the keys against a table that grew in key order: few files are opened."""
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    target = FileTarget.create(t.spark, scratch_path(t.spark, "orders"), rows.schema, ["o_orderkey"])
+    top = rows.agg(F.max("o_orderkey")).first()[0]
+    for n in range(4):
+        target.append(rows.where(F.col("o_orderkey").between(n * top // 4 + (n > 0), (n + 1) * top // 4)))
+    batch = rows.where(F.col("o_orderkey").between(top // 2, top // 2 + top // 100)).withColumn("o_orderstatus", F.lit("X"))
+    I.ingest(batch, target, ["o_orderkey"], "upsert")
+    return target.read()
+
+
+@check(
+    "id_blocks",
+    """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus <> 'F', o_orderkey) * 10 AS id FROM orders""",
+)
+def id_blocks(t: Tables):
+    """Two loaders number their shares of a table from one allocator."""
+    path = scratch_path(t.spark, "ids")
+    shares = [t.orders.where("o_orderstatus = 'F'"), t.orders.where("o_orderstatus <> 'F'")]
+    first, second = (IdBlocks(t.spark, path, start=10, step=10).number(s.select("o_orderkey"), ["o_orderkey"]) for s in shares)
+    return first.unionByName(second)
+
+
 # -- insert methods and errors ------------------------------------------------------------------
 
 CHUNKED = "(SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS row_index, (row_number() OVER (ORDER BY event_id) - 1) // 16 AS chunk_id FROM events)"
@@ -418,7 +449,8 @@ def stream_query(name: str, mode: str, sql: str):
         source, work = scratch_path(t.spark, "source"), scratch_path(t.spark, "stream")
         # slices in order of arrival, so that keys come back in later batches
         for first, past in zip(SLICES, SLICES[1:]):
-            part = t.lineitem.filter(f"l_shipdate >= timestamp_ntz'{first:04d}-01-01 00:00:00' AND l_shipdate < timestamp_ntz'{past:04d}-01-01 00:00:00'")
+            inside = f"l_shipdate >= timestamp_ntz'{first:04d}-01-01 00:00:00' AND l_shipdate < timestamp_ntz'{past:04d}-01-01 00:00:00'"
+            part = t.lineitem.filter(f"{inside} OR l_shipdate IS NULL" if past == SLICES[-1] else inside)
             part.coalesce(1).write.mode("append").parquet(source)
         target = line_target(t, None)
         stream = read_files(t.spark, source, t.lineitem.schema, files_per_batch=1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rowloom.draws import int_div
 from rowloom.operators.row_index import with_row_index
 from rowloom.operators.skew import join_unique
+from rowloom.sources.log import CommitConflict
 from rowloom.sources.target import FileTarget
 
 logger = logging.getLogger(__name__)
@@ -18,6 +19,7 @@ logger = logging.getLogger(__name__)
 CHUNK_SIZE = 16
 STATEMENT_ROWS = 128  # most rows one multi-value statement may carry
 MAX_UPSERT_SEGMENTS = 32  # after so many the target is compacted
+COMMIT_TRIES = 16
 MODES = ("error", "do_nothing", "upsert")
 METHODS = ("batch", "array", "singleton")
 POLICIES = ("IGNORE_AND_CONTINUE", "LOG_AND_CONTINUE", "RETHROW")
@@ -104,28 +106,37 @@ def upsert_rows(df: DataFrame, target: DataFrame, key: Sequence[str], order_by:
 def ingest(
     df: DataFrame, target: FileTarget, order_by: Sequence[str], mode: str = "error", batch_id: int | None = None
 ) -> bool:
-    """Apply one batch to the target; a batch id seen before is skipped. Returns whether it was applied."""
+    """Apply one batch to the target; a batch id seen before is skipped. Returns whether it was applied.
+
+    Only files of the target that may hold a key of the batch are opened. When another writer
+    commits in between, the batch is held against the table again.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    snapshot = target.snapshot()
-    if batch_id in snapshot.batch_ids:
-        return False
     key = target.key
     whole_key = F.lit(True)
     for k in key:
         whole_key = whole_key & F.col(k).isNotNull()
     nameless = df.filter(~whole_key).take(1)
-    if nameless:
-        raise KeyConflict(f"null key {nameless[0].asDict()}")
-    if mode == "upsert":
-        target.upsert(last_per_key(df, key, order_by), batch_id, snapshot)
-        if len(snapshot.upserts) + 1 >= MAX_UPSERT_SEGMENTS:
-            target.compact()
-    elif mode == "do_nothing":
-        target.append(do_nothing_rows(df, target.keys(snapshot), key, order_by), batch_id, snapshot)
-    else:
-        target.append(insert_rows(df, target.keys(snapshot), key), batch_id, snapshot)
-    return True
+    for _ in range(COMMIT_TRIES):
+        snapshot = target.snapshot()
+        if snapshot.has_batch(batch_id):
+            return False
+        if nameless:
+            raise KeyConflict(f"null key {nameless[0].asDict()}")
+        try:
+            if mode == "upsert":
+                target.upsert(last_per_key(df, key, order_by), batch_id, snapshot)
+                if len(snapshot.deletes) + 1 >= MAX_UPSERT_SEGMENTS:
+                    target.compact()
+            elif mode == "do_nothing":
+                target.append(do_nothing_rows(df, target.known_keys(df, snapshot), key, order_by), batch_id, snapshot)
+            else:
+                target.append(insert_rows(df, target.known_keys(df, snapshot), key), batch_id, snapshot)
+            return True
+        except CommitConflict:
+            logger.info("another writer was faster, batch %s is tried again", batch_id)
+    raise CommitConflict(f"batch {batch_id} lost {COMMIT_TRIES} times")
 
 
 # -- errors ------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from rowloom.operators.sizes import MAX_BROADCAST_ROWS, is_small
 
 SALT = "_salt"
 SALTS = "_salts"
+REPEATED_AT_ONCE = 4096
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], parts: int) -> DataFrame:
@@ -26,11 +27,29 @@ def hot_keys(df: DataFrame, on: Sequence[str], parts: int) -> DataFrame:
     return counts.filter(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).cast("bigint").alias(SALTS))
 
 
+def _repeated(df: DataFrame, copies: str) -> DataFrame:
+    """Every row as often as ``copies`` says, in two steps, so that no row carries a long array."""
+    n = F.col(copies)
+    lots = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / REPEATED_AT_ONCE)), lambda lot: F.least(F.lit(REPEATED_AT_ONCE).cast("bigint"), n - lot * REPEATED_AT_ONCE)
+    )
+    return df.withColumn(copies, F.explode(lots)).withColumn(copies, F.explode(F.sequence(F.lit(1).cast("bigint"), n))).drop(copies)
+
+
 def salted_join(df: DataFrame, unique: DataFrame, on: Sequence[str], how: str, parts: int | None = None) -> DataFrame:
     on = list(on)
+    if set(df.columns) <= set(on):
+        # rows that are nothing but their key cannot be told apart by a salt: they are joined as counts
+        counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_copies"))
+        return _repeated(counted.join(unique, on, how), "_copies")
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(df, on, parts))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.coalesce(F.col(SALTS), F.lit(1).cast("bigint")))
+    nameless = F.lit(False)
+    for c in on:
+        nameless = nameless | F.col(c).isNull()
+    # null keys match nothing and may go anywhere
+    share = F.when(nameless, F.lit(parts).cast("bigint")).otherwise(F.coalesce(F.col(SALTS), F.lit(1).cast("bigint")))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), share)
     left = df.join(hot, on, "left").withColumn(SALT, spread).drop(SALTS)
     salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(SALTS), F.lit(1).cast("bigint")) - 1)
     right = unique.join(hot, on, "left").withColumn(SALT, F.explode(salts)).drop(SALTS)

@@ -1,13 +1,14 @@
-"""A keyed table on plain files: immutable segments listed in a manifest.
+"""A keyed table on plain files: immutable segments in hash buckets of the key, named by a commit log.
 
-Each commit writes a new parquet segment and then one manifest line, so a
-failed write is never visible and a repeated batch id is recognised.
+Each commit writes its files first and then one entry of the log, so a failed write is never
+visible, a repeated batch id is recognised, and of two writers the slower one sees that it has
+to look again. Beside a segment lies its index: for each bucket a Bloom filter of the keys as
+rows of bitmaps, with the smallest and largest key of every bitmap. ``touched`` finds the few
+buckets of the few segments that may hold keys of a batch, as a join of the batch's keys with
+the bitmaps; only their files are opened.
 
-An ``append`` segment holds new keys, an ``upsert`` segment rows that stand in
-for earlier rows of their keys, and a ``replace`` segment a whole table. An
-upsert therefore costs as much as its batch; readers take earlier rows without
-an upserted key plus the last upserted row of each key, and ``compact`` folds
-the upserts in. One writer at a time.
+An upsert writes its rows as a new segment, and the keys it found in older files as a list of
+deletions for just those files. Readers take files without deletions as they are.
 """
 
 from __future__ import annotations
@@ -16,22 +17,52 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rowloom.operators.sizes import is_small
+from rowloom.sources.log import CommitConflict, CommitLog
+
 SEGMENT_VERSION = r"/segment-(\d+)-[0-9a-f]{32}/"
-MANIFEST = "version bigint, kind string, segment string, batch_id bigint"
+BUCKETS = 8
+BITS_PER_KEY, PROBES = 12, 3  # a key not in a bucket passes its filter about once in a hundred times
+SLICE_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
+
+
+def _after(state: dict, commit: dict) -> dict:
+    segments = [] if commit["kind"] == "replace" else state["segments"]
+    deletes = [] if commit["kind"] == "replace" else state["deletes"]
+    ranges = [list(r) for r in state["batches"]]
+    batch = commit["batch_id"]
+    if batch is not None:
+        if ranges and ranges[-1][1] == batch - 1:
+            ranges[-1][1] = batch
+        else:
+            ranges.append([batch, batch])
+    return {
+        "version": commit["version"], "batches": ranges,
+        "segments": segments + ([commit["segment"]] if commit["segment"] else []),
+        "deletes": deletes + ([commit["deletes"]] if commit["deletes"] else []),
+    }
 
 
 @dataclass(frozen=True)
 class Snapshot:
-    """What the manifest says at one moment."""
+    """The table at one moment. Segments and deletions are entries of the log, as many as commits since the last compaction."""
 
+    at: int
     version: int
-    plain: tuple[str, ...]
-    upserts: tuple[tuple[int, str], ...]
-    batch_ids: frozenset[int]
+    segments: tuple[dict, ...]
+    deletes: tuple[dict, ...]
+    batches: tuple[tuple[int, int], ...]
+
+    @property
+    def batch_ids(self) -> frozenset[int]:
+        return frozenset(b for low, high in self.batches for b in range(low, high + 1))
+
+    def has_batch(self, batch_id: int | None) -> bool:
+        return batch_id is not None and any(low <= batch_id <= high for low, high in self.batches)
 
 
 @dataclass(frozen=True)
@@ -40,67 +71,146 @@ class FileTarget:
     path: str
     schema: StructType
     key: tuple[str, ...]
+    buckets: int = BUCKETS
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, schema: StructType, key: Sequence[str]) -> FileTarget:
-        """A new, empty target."""
-        target = cls(spark, path.rstrip("/"), schema, tuple(key))
-        target._record(0, "replace", None, None)
+    def create(cls, spark: SparkSession, path: str, schema: StructType, key: Sequence[str], buckets: int = BUCKETS) -> FileTarget:
+        """A new, empty target. ``buckets`` should grow with the table; a bucket of a segment is what a lookup opens."""
+        target = cls(spark, path.rstrip("/"), schema, tuple(key), buckets)
+        target._log.commit(-1, {"version": 0, "kind": "replace", "segment": None, "deletes": None, "batch_id": None})
         return target
 
     @property
-    def _manifest(self) -> str:
-        return f"{self.path}/manifest"
+    def _log(self) -> CommitLog:
+        return CommitLog(self.spark, f"{self.path}/log", {"version": 0, "segments": [], "deletes": [], "batches": []}, _after)
 
-    def _record(self, version: int, kind: str, segment: str | None, batch_id: int | None) -> None:
-        line = self.spark.createDataFrame([(version, kind, segment, batch_id)], MANIFEST)
-        line.coalesce(1).write.mode("append").json(self._manifest)
+    def snapshot(self) -> Snapshot:
+        at, state = self._log.state()
+        return Snapshot(at, state["version"], tuple(state["segments"]), tuple(state["deletes"]), tuple(tuple(r) for r in state["batches"]))
 
-    def commits(self) -> DataFrame:
-        return self.spark.read.schema(MANIFEST).json(self._manifest)
+    # -- reading ---------------------------------------------------------------------------
 
-    def snapshot(self) -> Snapshot:
-        """The current state, from one read of the manifest: one line per commit, not per row."""
-        lines = self.commits().collect()
-        since = max(r["version"] for r in lines if r["kind"] == "replace")
-        live = sorted((r["version"], r["kind"], r["segment"]) for r in lines if r["version"] >= since and r["segment"])
-        return Snapshot(
-            max(r["version"] for r in lines),
-            tuple(s for _, kind, s in live if kind != "upsert"),
-            tuple((v, s) for v, kind, s in live if kind == "upsert"),
-            frozenset(r["batch_id"] for r in lines if r["batch_id"] is not None),
-        )
+    def _files(self, paths: Sequence[str], schema: StructType | None = None) -> DataFrame:
+        schema = schema or self.schema
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.path}/{p}" for p in paths])
 
-    def _segments(self, names: Sequence[str]) -> DataFrame:
-        if not names:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{s}" for s in names])
+    def _key_schema(self) -> StructType:
+        return StructType([self.schema[k] for k in self.key])
 
     def keys(self, snapshot: Snapshot | None = None) -> DataFrame:
         """Every key in the table, some more than once; nothing has to be resolved for that."""
         snapshot = snapshot or self.snapshot()
-        return self._segments([*snapshot.plain, *(s for _, s in snapshot.upserts)]).select(*self.key)
+        return self._files([s["name"] for s in snapshot.segments]).select(*self.key)
 
     def read(self, snapshot: Snapshot | None = None) -> DataFrame:
+        """The rows; only files that a later upsert found keys in are held against its deletions."""
         snapshot = snapshot or self.snapshot()
-        plain = self._segments(snapshot.plain)
-        if not snapshot.upserts:
+        marked = {(f["segment"], b) for d in snapshot.deletes for f in d["files"] for b in f["buckets"]}
+        clean, changed = [], []
+        for s in snapshot.segments:
+            hit = [b for b in s["buckets"] if (s["name"], b) in marked]
+            if not hit:
+                clean.append(s["name"])
+                continue
+            changed += [f"{s['name']}/_bucket={b}" for b in hit]
+            clean += [f"{s['name']}/_bucket={b}" for b in s["buckets"] if b not in hit]
+        plain = self._files(clean)
+        if not changed:
             return plain
-        version = F.regexp_extract(F.col("_metadata.file_path"), SEGMENT_VERSION, 1).cast("bigint")
-        upserted = self._segments([s for _, s in snapshot.upserts])
-        if len(snapshot.upserts) > 1:
-            newest = Window.partitionBy(*self.key).orderBy(F.col("_version").desc())
-            ranked = upserted.withColumn("_version", version).withColumn("_rank", F.row_number().over(newest))
-            latest = ranked.filter("_rank = 1").drop("_rank", "_version")
-        else:
-            latest = upserted
-        return plain.join(upserted.select(*self.key), list(self.key), "left_anti").select(*plain.columns).unionByName(latest)
+        version = lambda c: F.regexp_extract(c, SEGMENT_VERSION.replace("segment", "(?:segment|deletes)"), 1).cast("bigint")
+        rows = self._files(changed).withColumn("_version", version(F.col("_metadata.file_path")))
+        gone = self._files([d["name"] for d in snapshot.deletes], self._key_schema()).withColumn("_gone", version(F.col("_metadata.file_path")))
+        gone = gone.groupBy(*self.key).agg(F.max("_gone").alias("_gone"))
+        match = F.col("r._version") < F.col("g._gone")
+        for k in self.key:
+            match = match & (F.col(f"r.`{k}`") == F.col(f"g.`{k}`"))
+        left = rows.alias("r").join(gone.alias("g"), match, "left_anti")
+        return plain.unionByName(left.select(*self.schema.fieldNames()))
+
+    # -- key index --------------------------------------------------------------------------
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def _probes(self, keys: DataFrame, slices: Column) -> DataFrame:
+        """PROBES rows per key: the bitmap (slice) and bit each probe looks at."""
+        spots = F.array(*[F.pmod(F.xxhash64(F.lit(n), *self.key), slices * SLICE_BITS) for n in range(PROBES)])
+        probed = keys.withColumn("_bucket", self._bucket()).select("*", F.posexplode(spots).alias("_probe", "_spot"))
+        return probed.withColumn("_slice", F.floor(F.col("_spot") / SLICE_BITS).cast("int")).withColumn("_bit", (F.col("_spot") % SLICE_BITS).cast("bigint"))
+
+    def _write_index(self, segment: str, rows: int) -> int:
+        """Write the key filters of a segment; returns into how many bitmaps each bucket is spread."""
+        slices = max(1, -(-rows * BITS_PER_KEY // (self.buckets * SLICE_BITS)))
+        probed = self._probes(self._files([segment]).select(*self.key), F.lit(slices).cast("bigint"))
+        filters = probed.groupBy("_bucket", "_slice").agg(
+            F.bitmap_construct_agg("_bit").alias("bitmap"), F.min(F.struct(*self.key)).alias("low"), F.max(F.struct(*self.key)).alias("high")
+        )
+        filters.write.parquet(f"{self.path}/index-{segment}")
+        return slices
 
-    def _commit(self, df: DataFrame, kind: str, batch_id: int | None, snapshot: Snapshot | None) -> None:
-        version = (snapshot or self.snapshot()).version + 1
-        segment = f"segment-{version}-{uuid.uuid4().hex}"
-        df.select(*self.schema.fieldNames()).write.parquet(f"{self.path}/{segment}")
-        self._record(version, kind, segment, batch_id)
+    def touched(self, keys: DataFrame, snapshot: Snapshot | None = None) -> list[tuple[str, int]]:
+        """(segment, bucket) of all files that may hold one of ``keys``: all that do, and about one file in a hundred by mistake for every key."""
+        snapshot = snapshot or self.snapshot()
+        if not snapshot.segments:
+            return []
+        known = self.spark.createDataFrame([(s["name"], s["slices"]) for s in snapshot.segments], "_segment string, _slices bigint")
+        index = self.spark.read.parquet(*[f"{self.path}/index-{s['name']}" for s in snapshot.segments])
+        index = index.withColumn("_segment", F.regexp_extract(F.col("_metadata.file_path"), r"/index-(segment-\d+-[0-9a-f]{32})/", 1))
+        keys = keys.select(*self.key).dropna(subset=list(self.key)).distinct()
+        sizes = F.array(*[F.lit(n).cast("bigint") for n in sorted({s["slices"] for s in snapshot.segments})])  # segments of one size share their probes
+        probed = self._probes(keys.withColumn("_slices", F.explode(sizes)), F.col("_slices")).join(F.broadcast(known), "_slices")
+        if is_small(probed):
+            probed = F.broadcast(probed)
+        met = index.join(probed, ["_segment", "_bucket", "_slice"])
+        own = F.struct(*self.key)
+        byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        met = met.where((own >= F.col("low")) & (own <= F.col("high"))).withColumn("_byte", byte).where("shiftright(_byte, cast(_bit % 8 as int)) & 1 = 1")
+        hits = met.groupBy("_segment", "_bucket", *self.key).agg(F.count_distinct("_probe").alias("n")).where(F.col("n") == PROBES)
+        return sorted((r[0], r[1]) for r in hits.select("_segment", "_bucket").distinct().collect())
+
+    def known_keys(self, keys: DataFrame, snapshot: Snapshot | None = None) -> DataFrame:
+        """Keys of the table as far as ``keys`` can be among them: only files that may hold one are opened."""
+        snapshot = snapshot or self.snapshot()
+        return self._files([f"{s}/_bucket={b}" for s, b in self.touched(keys, snapshot)]).select(*self.key)
+
+    # -- writing ----------------------------------------------------------------------------
+
+    def _commit(self, df: DataFrame, kind: str, batch_id: int | None, snapshot: Snapshot | None, old_keys: bool = False) -> None:
+        snapshot = snapshot or self.snapshot()
+        version = snapshot.version + 1
+        name = f"segment-{version}-{uuid.uuid4().hex}"
+        seen = Observation()
+        rows = df.select(*self.schema.fieldNames()).withColumn("_bucket", self._bucket())
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = F.pmod(F.xxhash64(F.lit("file"), *self.key), F.lit(max(1, parts // self.buckets)))  # large buckets are written by several tasks
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).repartition("_bucket", spread).write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
+        segment = deletes = None
+        if seen.get["n"]:
+            segment = {"name": name, "buckets": self._written_buckets(name), "slices": self._write_index(name, seen.get["n"])}
+            if old_keys:
+                deletes = self._write_deletes(name, version, snapshot)
+        entry = {"version": version, "kind": kind, "segment": segment, "deletes": deletes, "batch_id": batch_id}
+        if not self._log.commit(snapshot.at, entry):
+            raise CommitConflict(f"{self.path}: version {version} was written by another writer")
+
+    def _written_buckets(self, segment: str) -> list[int]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{segment}")
+        names = [s.getPath().getName() for s in folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)]
+        return sorted(int(n.removeprefix("_bucket=")) for n in names if n.startswith("_bucket="))
+
+    def _write_deletes(self, segment: str, version: int, snapshot: Snapshot) -> dict | None:
+        """The keys of the new segment that older files hold."""
+        own = self._files([segment]).select(*self.key)
+        files = self.touched(own, snapshot)
+        if not files:
+            return None
+        old = self._files([f"{s}/_bucket={b}" for s, b in files]).select(*self.key)
+        name = f"deletes-{version}-{uuid.uuid4().hex}"
+        old.join(own, list(self.key), "left_semi").distinct().write.parquet(f"{self.path}/{name}")
+        segments = sorted({s for s, _ in files})
+        return {"name": name, "files": [{"segment": s, "buckets": [b for t, b in files if t == s]} for s in segments]}
 
     def append(self, df: DataFrame, batch_id: int | None = None, snapshot: Snapshot | None = None) -> None:
         """Add rows with keys the table does not have."""
@@ -108,7 +218,7 @@ class FileTarget:
 
     def upsert(self, df: DataFrame, batch_id: int | None = None, snapshot: Snapshot | None = None) -> None:
         """Add rows that replace those of the same key; one row per key."""
-        self._commit(df, "upsert", batch_id, snapshot)
+        self._commit(df, "upsert", batch_id, snapshot, old_keys=True)
 
     def replace(self, df: DataFrame, batch_id: int | None = None, snapshot: Snapshot | None = None) -> None:
         self._commit(df, "replace", batch_id, snapshot)
@@ -116,5 +226,5 @@ class FileTarget:
     def compact(self) -> None:
         """Write the resolved table as one segment."""
         snapshot = self.snapshot()
-        if snapshot.upserts:
+        if snapshot.deletes or len(snapshot.segments) > 1:
             self.replace(self.read(snapshot), None, snapshot)

@@ -235,7 +235,7 @@ def test_upserts_are_resolved_and_compacted(spark, monkeypatch):
         expected.update({i: v for i, v, _ in batch})
         assert dict(t.read().collect()) == expected
         assert {r[0] for r in t.keys().collect()} == set(expected)
-    assert len(t.snapshot().upserts) == 1 and t.snapshot().batch_ids == {0, 1, 2, 3}
+    assert len(t.snapshot().segments) == 2 and len(t.snapshot().deletes) == 1 and t.snapshot().batch_ids == {0, 1, 2, 3}
 
 
 def test_two_error_policies(spark):
