@@ -3,7 +3,7 @@
 Each commit writes its files first and then one entry of the log, so a failed write is never
 visible, a repeated batch id is recognised, and of two writers the slower one sees that it has
 to look again. Beside a segment lies its index: for each bucket a Bloom filter of the keys as
-rows of bitmaps, with the smallest and largest key of every bitmap. ``touched`` finds the few
+rows of bitmaps (each key has all its bits in one), with the smallest and largest key of each. ``touched`` finds the few
 buckets of the few segments that may hold keys of a batch, as a join of the batch's keys with
 the bitmaps; only their files are opened.
 
@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rowloom.operators.sizes import is_small
 from rowloom.sources.log import CommitConflict, CommitLog
 
 SEGMENT_VERSION = r"/segment-(\d+)-[0-9a-f]{32}/"
 BUCKETS = 8
 BITS_PER_KEY, PROBES = 12, 3  # a key not in a bucket passes its filter about once in a hundred times
 SLICE_BITS = 32768  # bits of one bitmap of bitmap_construct_agg
+SENT_BITMAPS = 2048  # so many bitmaps of 4 KB at most are sent to all tasks
 
 
 def _after(state: dict, commit: dict) -> dict:
@@ -134,17 +134,17 @@ class FileTarget:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
-    def _probes(self, keys: DataFrame, slices: Column) -> DataFrame:
-        """PROBES rows per key: the bitmap (slice) and bit each probe looks at."""
-        spots = F.array(*[F.pmod(F.xxhash64(F.lit(n), *self.key), slices * SLICE_BITS) for n in range(PROBES)])
-        probed = keys.withColumn("_bucket", self._bucket()).select("*", F.posexplode(spots).alias("_probe", "_spot"))
-        return probed.withColumn("_slice", F.floor(F.col("_spot") / SLICE_BITS).cast("int")).withColumn("_bit", (F.col("_spot") % SLICE_BITS).cast("bigint"))
+    def _spots(self, keys: DataFrame, slices: Column) -> DataFrame:
+        """The bitmap (slice of the bucket) that holds a key, and the bits its probes look at there."""
+        bits = F.array(*[F.pmod(F.xxhash64(F.lit(n), *self.key), F.lit(SLICE_BITS)).cast("bigint") for n in range(PROBES)])
+        slice_ = F.pmod(F.xxhash64(F.lit("slice"), *self.key), slices).cast("int")
+        return keys.select(*self.key, self._bucket().alias("_bucket"), slices.alias("_slices"), slice_.alias("_slice"), bits.alias("_bits"))
 
     def _write_index(self, segment: str, rows: int) -> int:
         """Write the key filters of a segment; returns into how many bitmaps each bucket is spread."""
         slices = max(1, -(-rows * BITS_PER_KEY // (self.buckets * SLICE_BITS)))
-        probed = self._probes(self._files([segment]).select(*self.key), F.lit(slices).cast("bigint"))
-        filters = probed.groupBy("_bucket", "_slice").agg(
+        spots = self._spots(self._files([segment]).select(*self.key), F.lit(slices).cast("bigint"))
+        filters = spots.withColumn("_bit", F.explode("_bits")).groupBy("_slices", "_bucket", "_slice").agg(
             F.bitmap_construct_agg("_bit").alias("bitmap"), F.min(F.struct(*self.key)).alias("low"), F.max(F.struct(*self.key)).alias("high")
         )
         filters.write.parquet(f"{self.path}/index-{segment}")
@@ -155,20 +155,20 @@ class FileTarget:
         snapshot = snapshot or self.snapshot()
         if not snapshot.segments:
             return []
-        known = self.spark.createDataFrame([(s["name"], s["slices"]) for s in snapshot.segments], "_segment string, _slices bigint")
         index = self.spark.read.parquet(*[f"{self.path}/index-{s['name']}" for s in snapshot.segments])
         index = index.withColumn("_segment", F.regexp_extract(F.col("_metadata.file_path"), r"/index-(segment-\d+-[0-9a-f]{32})/", 1))
-        keys = keys.select(*self.key).dropna(subset=list(self.key)).distinct()
-        sizes = F.array(*[F.lit(n).cast("bigint") for n in sorted({s["slices"] for s in snapshot.segments})])  # segments of one size share their probes
-        probed = self._probes(keys.withColumn("_slices", F.explode(sizes)), F.col("_slices")).join(F.broadcast(known), "_slices")
-        if is_small(probed):
-            probed = F.broadcast(probed)
-        met = index.join(probed, ["_segment", "_bucket", "_slice"])
-        own = F.struct(*self.key)
-        byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        met = met.where((own >= F.col("low")) & (own <= F.col("high"))).withColumn("_byte", byte).where("shiftright(_byte, cast(_bit % 8 as int)) & 1 = 1")
-        hits = met.groupBy("_segment", "_bucket", *self.key).agg(F.count_distinct("_probe").alias("n")).where(F.col("n") == PROBES)
-        return sorted((r[0], r[1]) for r in hits.select("_segment", "_bucket").distinct().collect())
+        if sum(s["slices"] * len(s["buckets"]) for s in snapshot.segments) <= SENT_BITMAPS:
+            index = F.broadcast(index)
+        sizes = F.array(*[F.lit(n).cast("bigint") for n in sorted({s["slices"] for s in snapshot.segments})])  # segments of one size are asked at once
+        asked = keys.select(*self.key).dropna(subset=list(self.key)).withColumn("_n", F.explode(sizes))
+        met = self._spots(asked, F.col("_n")).join(index, ["_slices", "_bucket", "_slice"])
+        own, hit = F.struct(*self.key), F.lit(True)
+        for n in range(PROBES):
+            bit = F.col("_bits")[n]
+            byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            hit = hit & (F.get(F.array(*[byte.bitwiseAND(1 << k) for k in range(8)]), (bit % 8).cast("int")) > 0)
+        met = met.where((own >= F.col("low")) & (own <= F.col("high"))).where(hit)
+        return sorted((r[0], r[1]) for r in met.select("_segment", "_bucket").distinct().collect())
 
     def known_keys(self, keys: DataFrame, snapshot: Snapshot | None = None) -> DataFrame:
         """Keys of the table as far as ``keys`` can be among them: only files that may hold one are opened."""
