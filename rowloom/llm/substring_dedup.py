@@ -125,7 +125,7 @@ def signed(values: np.ndarray) -> pa.Array:
 
 
 def split(text: str) -> list[bytes]:
-    return [w for w in text.encode("utf-8", "surrogatepass").split(b" ") if w]
+    return text.encode("utf-8", "surrogatepass").split()  # bytes are split at ASCII white space only
 
 
 def grouped(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tuple[list[list], list[list[bytes]]]]:
@@ -135,7 +135,7 @@ def grouped(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tup
         others = [c for k, c in enumerate(batch.columns) if k != text_column]
         for k in range(batch.num_rows):
             words = split(batch.column(text_column)[k].as_py())
-            rows.append([c[k].as_py() for c in others])
+            rows.append([c[k].values if pa.types.is_nested(c.type) else c[k].as_py() for c in others])
             texts.append(words)
             held += len(words)
             if held >= WORDS_AT_ONCE:
@@ -145,11 +145,30 @@ def grouped(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tup
         yield rows, texts
 
 
-def _chosen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One row of ``rows`` (doc_id, digest, text) or more equal ones for each of ``wanted`` (node, rep, digest)."""
+def listed_fields(lists: list[pa.StructArray | None], fields: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(index of the list, each field) of all entries of ``lists`` one after the other."""
+    sizes = [0 if x is None else len(x) for x in lists]
+    some = [x for x in lists if x is not None and len(x)]
+    columns = [np.concatenate([np.empty(0, np.int64), *[x.field(f).to_numpy(zero_copy_only=False) for x in some]]) for f in range(fields)]
+    return np.repeat(np.arange(len(lists)), sizes), [c.astype(np.int64) for c in columns]
+
+
+def matches(mine: tuple[np.ndarray, ...], asked: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(indexes of ``mine`` that stand among ``asked``, their indexes there); rows of three integers each."""
+    keys = [mix(mix(a.view(np.uint64), b.view(np.uint64), 9), c.astype(np.uint64), 10) for a, b, c in (mine, asked)]
+    if not len(keys[1]):
+        return (np.empty(0, np.int64),) * 2
+    order = np.argsort(keys[1])
+    at = order[np.minimum(np.searchsorted(keys[1][order], keys[0]), len(order) - 1)]
+    same = np.logical_and.reduce([m == a[at] for m, a in zip(mine, asked)])
+    return np.flatnonzero(same), at[same]
+
+
+def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The row of ``docs`` (doc_id, text), or more equal ones, for each of ``wanted`` (rep, raw)."""
     if wanted.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
         wanted = F.broadcast(wanted)
-    return rows.join(wanted, (rows["digest"] == wanted["wanted"]) & rows["doc_id"].eqNullSafe(wanted["rep"]))
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"]) & (F.xxhash64(docs["text"]) == wanted["raw"]))
 
 
 def drop_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -162,14 +181,14 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     empty and null ones lose nothing. Repeated rows count as further places, null ids are allowed.
     No rows in, no rows out; further columns are ignored.
     """
-    plain = F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, " "))
-    rows = docs.select(F.col("doc_id").cast("long"), plain.alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("raw"), F.trim(F.regexp_replace("text", SPACE, " ")).alias("text"))
     rows = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     n_words = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit(" "))) + 1)
-    members = keep(rows.select("doc_id", "digest", n_words.cast("long").alias("n_words")), "members")
-    texts = members.where(F.col("n_words") >= size).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    texts = keep(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
-    wanted = texts.select("node", "rep", F.col("digest").alias("wanted"))
+    members = keep(rows.select("doc_id", "raw", "digest", n_words.cast("long").alias("n_words")), "members")
+    texts = members.where(F.col("n_words") >= size).groupBy("digest").agg(F.min(F.struct("doc_id", "raw")).alias("one"), F.count("*").alias("copies"))
+    texts = texts.select("digest", F.col("one.doc_id").alias("rep"), F.col("one.raw").alias("raw"), "copies", F.monotonically_increasing_id().alias("node"))
+    texts = keep(texts, "texts")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, words in grouped(batches, 1):
@@ -186,7 +205,7 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 ["name", "stretch", "node", "times"],
             )
 
-    found = _chosen(rows, wanted).select("node", "text").mapInArrow(places, "name long, stretch long, node long, times byte")
+    found = _chosen(docs, texts.select("node", "rep", "raw")).select("node", "text").mapInArrow(places, "name long, stretch long, node long, times byte")
     # one shuffle; rows of a name lie together for all that follows. Equal rows of one text chosen twice are folded.
     found = found.repartition("name").groupBy("name", "stretch", "node").agg(F.max("times").alias("times"))
     name, both = Window.partitionBy("name"), Window.partitionBy("name", "stretch")
@@ -201,16 +220,14 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         return df.groupBy("node").agg(F.collect_list(F.struct("name", "stretch", "whole")).alias("stretches"))  # as many as the text has
 
     compared = listed(shared.where("differ and speaks"))
-    ask = compared.join(texts.select("node", "rep", F.col("digest").alias("wanted"), "copies"), "node")
-    speakers = _chosen(rows, ask.select("node", "rep", "wanted", "copies")).select("node", "text", "copies").dropDuplicates(["node"])
+    ask = compared.join(texts.select("node", "rep", "raw", "copies"), "node")
+    speakers = _chosen(docs, keep(ask.select("node", "rep", "raw", "copies"), "speakers")).select("node", "text", "copies").dropDuplicates(["node"])
 
-    def lookup(s: Stretches, lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    def lookup(s: Stretches, lists: list[pa.StructArray | None]) -> tuple[np.ndarray, np.ndarray]:
         """(index into the stretches, whole) of the listed stretches."""
-        at = {(int(o), n, t): [] for o, n, t in zip(s.owner, s.name.view(np.int64), s.stretch.view(np.int64))}
-        for k, key in enumerate(zip(s.owner.tolist(), s.name.view(np.int64).tolist(), s.stretch.view(np.int64).tolist())):
-            at[key].append(k)
-        hits = [(k, bool(x["whole"])) for o, some in enumerate(lists) for x in some or [] for k in at[o, x["name"], x["stretch"]]]
-        return np.array([h[0] for h in hits], np.int64), np.array([h[1] for h in hits], bool)
+        owner, (name, stretch, whole) = listed_fields(lists, 3)
+        hit, at = matches((s.name.view(np.int64), s.stretch.view(np.int64), s.owner), (name, stretch, owner))
+        return hit, whole[at].astype(bool)
 
     def expanded(s: Stretches, at: np.ndarray) -> np.ndarray:
         """The windows of the stretches ``at``."""
@@ -237,21 +254,21 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     # texts met more than once lose all words; of the others those with a repeat are read again
     touched = listed(shared.where("whole")).join(again, "node", "full_outer")
-    touched = touched.join(texts.where("copies = 1").select("node", "rep", F.col("digest").alias("wanted")), "node")
-    ids = keep(touched.select("node", "rep", "wanted"), "touched")
+    touched = touched.join(texts.where("copies = 1").select("node", "rep", "raw"), "node")
+    touched = keep(touched, "touched")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, words in grouped(batches, 2):
+        for own, words in grouped(batches, 1):
             s = Stretches(words, size)
-            at, _ = lookup(s, [r[2] for r in own])
+            at, _ = lookup(s, [r[1] for r in own])
             marks = np.zeros(int(s.counts.sum()) + 1, np.int64)
             starts = [expanded(s, at)]
-            for o, row in enumerate(own):
-                if row[3]:
-                    stop = s.offsets[o] + s.counts[o] - size + 1
-                    pairs = np.array([(x["high"], x["low"]) for x in row[3]], np.int64)
-                    mine = np.arange(s.offsets[o], stop)
-                    starts.append(mine[_pairs_in(s.high[mine].view(np.int64), s.low[mine].view(np.int64), pairs)])
+            owner, (high, low) = listed_fields([r[2] for r in own], 2)
+            asking = np.flatnonzero(np.bincount(owner, minlength=len(own)) * (s.counts >= size))
+            n = s.counts[asking] - size + 1
+            mine = np.repeat(s.offsets[asking], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hit, _ = matches((s.high[mine].view(np.int64), s.low[mine].view(np.int64), np.repeat(asking, n)), (high, low, owner))
+            starts.append(mine[hit])
             begin = np.concatenate(starts)
             np.add.at(marks, begin, 1)
             np.add.at(marks, begin + size, -1)
@@ -262,27 +279,18 @@ def drop_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 removed.append(int(mask.sum()))
                 texts_kept.append(b" ".join([text[k] for k in np.flatnonzero(~mask)]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[1] for r in own], pa.string()), pa.array([t.decode("utf-8", "surrogatepass") for t in texts_kept], pa.string()),
+                [pa.array([r[0] for r in own], pa.int64()), pa.array([t.decode("utf-8", "surrogatepass") for t in texts_kept], pa.string()),
                  pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts_kept], pa.string())],
-                ["wanted", "kept", "n_removed", "kept_sha256"],
+                ["node", "kept", "n_removed", "kept_sha256"],
             )
 
-    texts_again = _chosen(rows, ids).select("node", "wanted", "text").dropDuplicates(["node"])
-    cut = texts_again.join(touched.select("node", "stretches", "windows"), "node").select("node", "wanted", "text", "stretches", "windows")
-    cut = cut.mapInArrow(kept, "wanted string, kept string, n_removed long, kept_sha256 string")
+    again = _chosen(docs, touched.select("node", "rep", "raw")).select("node", "text").dropDuplicates(["node"])
+    cut = again.join(touched.select("node", "stretches", "windows"), "node").select("node", "text", "stretches", "windows")
+    cut = cut.mapInArrow(kept, "node long, kept string, n_removed long, kept_sha256 string").join(texts.select("node", F.col("digest").alias("wanted")), "node")
+    cut = cut.select("wanted", "kept", "n_removed", "kept_sha256")
     empty = hashlib.sha256().hexdigest()
     copied = texts.where("copies > 1").select(F.col("digest").alias("wanted"), F.lit("").alias("kept"), F.lit(-1).cast("long").alias("n_removed"), F.lit(empty).alias("kept_sha256"))
     results = keep(cut.union(copied), "kept")
     joined = members.join(results, members["digest"] == results["wanted"], "left")
     removed = F.when(F.col("n_removed") < 0, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return joined.select("doc_id", "kept", "n_words", removed.cast("long").alias("n_removed"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"))
-
-
-def _pairs_in(high: np.ndarray, low: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Which (high, low) stand among ``pairs``."""
-    kind = np.dtype([("high", np.int64), ("low", np.int64)])
-    mine = np.empty(len(high), kind)
-    mine["high"], mine["low"] = high, low
-    wanted = np.empty(len(pairs), kind)
-    wanted["high"], wanted["low"] = pairs[:, 0], pairs[:, 1]
-    return np.isin(mine, wanted)
