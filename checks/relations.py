@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import duck as D
+from itertools import combinations, permutations
+
 from checks.registry import Tables, check
 from rowloom.operators.dependency import adjacent, cyclic_nodes, dependency_levels, edge_value, load_order, self_references
 from rowloom.operators.keys import check_foreign_key, check_primary_key
@@ -12,6 +14,7 @@ from rowloom.operators.lookup import (
     cross_product, fk_sample, lookup_by_position, lookup_one, lookup_scalar, semi_lookup,
 )
 from rowloom.operators.row_index import with_row_index
+from rowloom.plans.discover import discover_references, discover_unique_keys
 from rowloom.plans.database import generate_database
 from rowloom.plans.generate import project
 from rowloom.plans.infer import ForeignKeySpec, KeySpec, infer_from_data, infer_spec
@@ -276,3 +279,57 @@ def database(t: Tables):
     buyers = made["buyer"].select(F.col("id").alias("buyer_id"), "kind")
     joined = lines.join(purchases, "purchase_id").join(buyers, "buyer_id")
     return joined.groupBy("kind", "p_brand").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+# -- keys and references read from the data ------------------------------------------------------
+
+KEY_TABLES = {
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "conversations": "conv_id turn role text",
+}
+
+
+def unique_keys_sql() -> str:
+    """Every combination of up to three columns, counted; then the minimal ones."""
+    parts = []
+    for table, columns in KEY_TABLES.items():
+        for size in (1, 2, 3):
+            for c in combinations(columns.split(), size):
+                no_null = " AND ".join(f"count({x}) = count(*)" for x in c)
+                parts.append(f"SELECT '{table}' AS table_name, {list(c)} AS c WHERE (SELECT {no_null} FROM {table}) AND (SELECT count(*) FROM {table}) = "
+                             f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(c)} FROM {table}))")
+    found = " UNION ALL ".join(parts)
+    return (f"WITH f AS ({found}) SELECT table_name, array_to_string(c, ',') AS key_columns, len(c)::INTEGER AS n_columns FROM f a WHERE NOT EXISTS "
+            "(SELECT 1 FROM f b WHERE b.table_name = a.table_name AND len(b.c) < len(a.c) AND list_has_all(a.c, b.c))")
+
+
+@check("discover_unique_keys", unique_keys_sql())
+def unique_keys(t: Tables):
+    found = [(name, ",".join(k), len(k)) for name in KEY_TABLES for k in discover_unique_keys(getattr(t, name), 3)]
+    return t.spark.createDataFrame(found, "table_name string, key_columns string, n_columns int")
+
+
+REFERENCE_COLUMNS = [
+    "region.r_regionkey nation.n_nationkey nation.n_regionkey customer.c_custkey customer.c_nationkey supplier.s_suppkey supplier.s_nationkey "
+    "part.p_partkey part.p_size orders.o_orderkey orders.o_custkey lineitem.l_orderkey lineitem.l_partkey lineitem.l_suppkey lineitem.l_linenumber",
+    "region.r_name nation.n_name customer.c_name customer.c_mktsegment supplier.s_name part.p_name part.p_brand part.p_type orders.o_orderstatus "
+    "orders.o_orderpriority lineitem.l_returnflag lineitem.l_linestatus",
+    "orders.o_orderdate lineitem.l_shipdate",
+]
+
+
+def references_sql() -> str:
+    parts = []
+    for family in REFERENCE_COLUMNS:
+        for child, parent in permutations(family.split(), 2):
+            (ct, cc), (pt, pc) = child.split("."), parent.split(".")
+            parts.append(f"SELECT '{child}' AS child, '{parent}' AS parent, n AS n_values FROM (SELECT count(DISTINCT {cc}) AS n, "
+                         f"bool_and({cc} IN (SELECT {pc} FROM {pt})) AS inside FROM {ct} WHERE {cc} IS NOT NULL) WHERE inside")
+    return " UNION ALL ".join(parts)
+
+
+@check("discover_foreign_keys", references_sql())
+def foreign_keys(t: Tables):
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    return discover_references({name: getattr(t, name) for name in names})
