@@ -99,10 +99,11 @@ def plus_date(value: Column, amount: Column | int, unit: str) -> Column:
 
 
 def plus_time(seconds: Column, amount: Column | int, unit: str) -> Column:
-    """Add to a time of day, wrapping at midnight; date units are refused."""
+    """Add to a time of day in whole seconds, wrapping at midnight; date units and units below a second are refused."""
     _, micros = _unit(unit, MICRO_UNITS)
-    total = seconds.cast("bigint") * F.lit(10**6).cast("bigint") + _amount(amount) * F.lit(micros).cast("bigint")
-    return int_div(F.pmod(total, F.lit(DAY_SECONDS * 10**6).cast("bigint")), 10**6)
+    if micros % 10**6:
+        raise ValueError(f"a time of day holds whole seconds, not {unit}")
+    return F.pmod(seconds.cast("bigint") + _amount(amount) * F.lit(micros // 10**6).cast("bigint"), F.lit(DAY_SECONDS).cast("bigint"))
 
 
 def plus_datetime(value: Column, amount: Column | int, unit: str) -> Column:

@@ -91,6 +91,8 @@ def test_temporal_units(spark):
         plus_date(F.current_date(), 1, "HOURS")
     with pytest.raises(ValueError):
         plus_time(F.lit(0), 1, "DAYS")
+    with pytest.raises(ValueError):
+        plus_time(F.lit(0), 500, "MILLIS")  # would be lost
     row = spark.range(1).select(
         plus_date(F.lit("2024-01-31").cast("date"), 1, "MONTHS"), time_text(plus_time(F.lit(parse_time("23:30:00")), 1, "HOURS")),
         plus_datetime(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), 10**10, "SECONDS"), trim(F.lit("\t a \x01\n")),
