@@ -384,7 +384,7 @@ def test_pigeonhole_blocks_lose_no_pair(rows):
         assert any(m & differing == 0 for m in masks)
 
 
-def test_mixture(spark):
+def test_mixture(spark, monkeypatch):
     draw = random.Random(1)
     rows = [(k, " ".join(draw.choices(WORDS, k=draw.randint(1, 30))) + draw.choice(["", " a@b.c", " copyright", " | x"]), draw.choice(["en", "fr", None]), draw.choice("abc")) for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("tokens", F.lit("own"))
@@ -396,9 +396,40 @@ def test_mixture(spark):
     for dim, target in (("source", {"a": 500, "b": 500}), ("lang", {"x": 300, "y": 700})):
         for value, want in target.items():
             assert sum(r.weight for r in raked if r[dim] == value) == pytest.approx(want, rel=1e-6)
-    given = mixing.probabilities(spark.createDataFrame([(100, 300.0), (400, 300.0), (500, 400.0)], "tokens long, weight double"), 0.6).collect()
-    assert [r.probability for r in given][0] == 1 and sum(r.tokens * r.probability for r in given) == pytest.approx(600)
+    wanted = {"source": shares(a=0.55, b=0.45), "lang": shares(x=0.2, y=0.8)}
+    raked = mixing.rake(cells, wanted, 20, 0.7).collect()
+    monkeypatch.setattr(mixing, "CELLS_IN_MEMORY", 0)
+    spread = mixing.rake(cells, wanted, 2, 0.7).collect()
+    monkeypatch.undo()
+    same = {r[:3]: r.weight for r in mixing.rake(cells, wanted, 2, 0.7).select("source", "lang", "topic", "weight").collect()}
+    assert {(r.source, r.lang, r.topic): pytest.approx(r.weight) for r in spread} == same
+    for dim, target in (("source", {"a": 385, "b": 315}), ("lang", {"x": 140, "y": 560})):
+        for value, want in target.items():
+            assert sum(r.weight for r in raked if r[dim] == value) == pytest.approx(want, rel=1e-6)
+    assert all(0 < r.weight <= r.tokens for r in raked) and any(r.weight == r.tokens for r in raked)
+    # what is left of scarce values decides how much can be kept; values without tokens are left out
+    scarce = {"source": mixing.shares(cells, "source", shares(a=0.8, b=0.1, c=0.1))}
+    assert mixing.attainable(scarce, 1000.0, 0.6) == pytest.approx(mixing.HEADROOM * 0.4 / (8 / 9))
+    assert mixing.attainable(scarce, 1000.0, 0.3) == 0.3
     odd = spark.createDataFrame([(1, None, None, None), (None, "", "en", "a"), (2, "one two", None, "b"), (2, "one two", None, "b")], "doc_id long, text string, lang string, source string")
     found = mixing.mixture(odd).collect()
     assert len(found) == 4 and len({r.kept for r in found if r.row.doc_id == 2}) == 1
     assert mixing.mixture(odd.limit(0)).count() == 0
+
+
+def test_mixture_meets_its_targets(spark):
+    """Tokens to expect, by probability, against tempered shares of all three dimensions."""
+    draw = random.Random(3)
+    ends = ["", "", "", "", "", " a@b.c", " copyright", " | x"]
+    rows = [(k, " ".join(draw.choices(WORDS, k=draw.randint(5, 30))) + draw.choice(ends), draw.choice(["en"] * 6 + ["fr", "de"]), draw.choice("aaaaabbc")) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = [r for r in mixing.mixture(docs).collect()]
+    kept = sum(r.tokens * r.probability for r in found)
+    assert all(0 <= r.probability <= 1 for r in found) and any(r.probability > 0.9 for r in found)
+    for dim in mixing.DIMENSIONS:
+        raised = {v: sum(r.tokens for r in found if r[dim] == v) ** mixing.POWERS[dim] for v in {r[dim] for r in found}}
+        for value, x in raised.items():
+            share = sum(r.tokens * r.probability for r in found if r[dim] == value) / kept
+            assert share == pytest.approx(x / sum(raised.values()), rel=0.001)
+    drawn = sum(r.tokens for r in found if r.kept)
+    assert drawn == pytest.approx(kept, rel=0.08)
