@@ -8,7 +8,7 @@ from checks import duck as D
 from itertools import combinations, permutations
 
 from checks.registry import Tables, check
-from rowloom.operators.dependency import adjacent, cyclic_nodes, dependency_levels, edge_value, load_order, self_references
+from rowloom.operators.dependency import adjacent, cyclic_nodes, dependency_levels, edge_value, load_order, one_cycle, self_references
 from rowloom.operators.keys import check_foreign_key, check_primary_key
 from rowloom.operators.lookup import (
     cross_product, fk_sample, lookup_by_position, lookup_one, lookup_scalar, semi_lookup,
@@ -172,6 +172,23 @@ def cyclic(t: Tables):
     return cyclic_nodes(type_edges(t))
 
 
+@check(
+    "one_cycle",
+    f"""WITH RECURSIVE edges AS (SELECT * FROM {TYPE_EDGES} types WHERE child <> parent),
+        up(node, ancestor) AS (SELECT child, parent FROM edges UNION SELECT node, parent FROM up JOIN edges ON ancestor = child),
+        cyclic AS (SELECT node FROM up WHERE node = ancestor),
+        core AS (SELECT node FROM up WHERE ancestor IN (SELECT node FROM cyclic)
+          INTERSECT SELECT ancestor FROM up WHERE node IN (SELECT node FROM cyclic)),
+        step AS (SELECT child, min(parent) AS parent FROM edges WHERE child IN (SELECT node FROM core)
+          AND parent IN (SELECT node FROM core) GROUP BY child),
+        walk(node) AS (SELECT min(child) FROM step UNION SELECT parent FROM walk JOIN step ON node = child),
+        round(a, b) AS (SELECT child, parent FROM step UNION SELECT a, parent FROM round JOIN step ON b = child)
+        SELECT child, parent FROM step WHERE child IN (SELECT node FROM walk) AND child IN (SELECT a FROM round WHERE a = b)""",
+)
+def one_cycle_(t: Tables):
+    return one_cycle(type_edges(t).filter("child <> parent"))
+
+
 @check("self_references", f"SELECT child, parent FROM {TYPE_EDGES} types WHERE child = parent")
 def selfs(t: Tables):
     return self_references(type_edges(t))

@@ -39,17 +39,30 @@ def _peel(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return rounds, pending
 
 
-def _cycle_edge(stuck: DataFrame):
-    """The first edge on a cycle, walked from the smallest node that is left to its smallest parent until one repeats."""
+def one_cycle(edges: DataFrame) -> DataFrame:
+    """(child, parent): the edges of one cycle, no rows if there is none.
+
+    It is the cycle that a walk from the smallest node ends in, always to the smallest parent,
+    among the nodes on cycles or between them. The walk is not taken edge by edge: steps are
+    doubled until they are as long as there are nodes, and so is the way around the cycle.
+    """
+    return _walked_cycle(_peel(edges)[1])
+
+
+def _walked_cycle(stuck: DataFrame) -> DataFrame:
+    # what is stuck also holds nodes below a cycle; taking those away from the other side leaves cycles and the ways between them
     _, core = _peel(stuck.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
-    step = core.groupBy(F.col("parent").alias("child")).agg(F.min("child").alias("parent"))
-    step = reliable_checkpoint(step)
-    seen: dict = {}
-    edge = step.orderBy("child").first()
-    while edge["child"] not in seen:
-        seen[edge["child"]] = edge
-        edge = step.filter(F.col("child") == F.lit(edge["parent"])).first()
-    return edge
+    step = reliable_checkpoint(core.groupBy(F.col("parent").alias("child")).agg(F.min("child").alias("parent")))
+    jumps = [step]
+    for _ in range(step.count().bit_length()):
+        far = jumps[-1].select(F.col("child").alias("parent"), F.col("parent").alias("end"))
+        jumps.append(reliable_checkpoint(join_unique(jumps[-1], far, ["parent"], "inner").select("child", F.col("end").alias("parent"))))
+    # the last jump is longer than any way into a cycle
+    around = jumps[-1].join(step.agg(F.min("child").alias("child")), "child").select(F.col("parent").alias("node"))
+    for jump in jumps:
+        ahead = jump.join(around.select(F.col("node").alias("child")), "child").select("parent")
+        around = reliable_checkpoint(around.union(ahead).distinct())
+    return step.join(around.select(F.col("node").alias("child")), "child", "left_semi")
 
 
 def dependency_levels(edges: DataFrame) -> DataFrame:
@@ -59,8 +72,7 @@ def dependency_levels(edges: DataFrame) -> DataFrame:
         raise ValueError(f"self reference: {edge['child']}")
     rounds, stuck = _peel(edges)
     if not stuck.isEmpty():
-        # what is left also holds nodes below a cycle; taking those away from the other side leaves cycles and the ways between them
-        edge = _cycle_edge(stuck)
+        edge = _walked_cycle(stuck).orderBy("child").first()
         raise ValueError(f"cycle through {edge['child']} -> {edge['parent']}")
     levels = [nodes.select("node", F.lit(i).cast("bigint").alias("level")) for i, nodes in enumerate(rounds)]
     if not levels:

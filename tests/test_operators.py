@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from rowloom.operators import ingest as I
 from rowloom.operators import metrics as M
-from rowloom.operators.dependency import adjacent, cyclic_nodes, dependency_levels, load_order
+from rowloom.operators.dependency import adjacent, cyclic_nodes, dependency_levels, load_order, one_cycle
 from rowloom.operators.lookup import cross_product, dictionary_pick, lookup_one, weighted_choice
 from rowloom.operators.row_index import with_row_index, with_running_total
 from rowloom.operators.sizes import is_small
@@ -130,6 +130,18 @@ def test_cycles(spark):
         dependency_levels(edges(spark, [("category", "category")]))
 
 
+def test_one_cycle(spark):
+    ring = [(f"n{k:02}", f"n{(k + 1) % 23:02}") for k in range(23)]
+    below, above = [("a", "b"), ("b", "n05"), ("n07", "z")], [("q", "r"), ("r", "q"), ("n03", "q")]
+    found = one_cycle(edges(spark, ring + below)).collect()
+    assert {tuple(r) for r in found} == set(ring)
+    # the walk from n00 goes on to n04, not to q, as it takes the smallest parent
+    assert {tuple(r) for r in one_cycle(edges(spark, ring + below + above)).collect()} == set(ring)
+    assert {tuple(r) for r in one_cycle(edges(spark, above)).collect()} == {("q", "r"), ("r", "q")}
+    assert one_cycle(edges(spark, DIAMOND)).count() == 0
+    assert [tuple(r) for r in one_cycle(edges(spark, [("s", "s")])).collect()] == [("s", "s")]
+
+
 def target(spark, rows="id long, v string", key=("id",)):
     return FileTarget.create(spark, scratch_path(spark, "t"), StructType.fromDDL(rows), key)
 
