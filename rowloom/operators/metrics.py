@@ -80,3 +80,33 @@ def reconcile(produced: DataFrame, consumed: DataFrame, by: Sequence[str]) -> Da
     joined = left.join(right, by, "full_outer")
     both = joined.select(*by, F.coalesce("produced", zero).alias("produced"), F.coalesce("consumed", zero).alias("consumed"))
     return both.filter("produced <> consumed")
+
+
+def reconcile_contents(produced: DataFrame, consumed: DataFrame, by: Sequence[str], buckets: int = 4096) -> DataFrame:
+    """Rows that one side holds more often than the other, with how often: the columns, produced, consumed.
+
+    First both sides are reduced to a fingerprint for each bucket of the ``by`` columns: the
+    number of rows and two sums over halves of a 64-bit hash of the row, whatever its place.
+    Only rows of buckets whose fingerprints differ are compared as rows. Both sides have the
+    same columns, of types that can be grouped; nulls equal nulls, repeated rows are counted.
+    """
+    columns = produced.columns
+    bucket = F.pmod(F.xxhash64(*by), F.lit(buckets))
+    # a hash passes over nulls, so which columns are null goes into it as well
+    row = F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+    marks = [F.count(F.lit(1)), F.sum(row.bitwiseAND(F.lit((1 << 32) - 1))), F.sum(F.shiftrightunsigned(row, 32))]
+
+    def fingerprints(df: DataFrame) -> DataFrame:
+        return df.groupBy(bucket.alias("bucket")).agg(F.struct(*(m.alias(f"m{k}") for k, m in enumerate(marks))).alias("marks"))
+
+    left, right = fingerprints(produced).alias("l"), fingerprints(consumed).alias("r")
+    differing = left.join(right, "bucket", "full_outer").where(~F.col("l.marks").eqNullSafe(F.col("r.marks"))).select("bucket")
+    differing = F.broadcast(reliable_checkpoint(differing))  # at most ``buckets`` numbers
+
+    def suspects(df: DataFrame, sides: tuple[int, int]) -> DataFrame:
+        counted = df.select("*", *(F.lit(n).cast("bigint").alias(c) for n, c in zip(sides, ("_produced", "_consumed"))))
+        return counted.join(differing, bucket == F.col("bucket"), "left_semi")
+
+    both = suspects(produced, (1, 0)).union(suspects(consumed.select(*columns), (0, 1)))
+    counts = both.groupBy(*columns).agg(F.sum("_produced").alias("produced"), F.sum("_consumed").alias("consumed"))
+    return counts.where("produced <> consumed")

@@ -1,5 +1,6 @@
 """Skewed keys, large paths, graphs, conflicts and error policies on small frames."""
 
+from collections import Counter
 from types import SimpleNamespace
 
 import pytest
@@ -256,3 +257,18 @@ def test_two_error_policies(spark):
     assert I.apply_error_policies(df, transient, permanent, permanent_policy="IGNORE_AND_CONTINUE").count() == 16
     with pytest.raises(ValueError, match="bad row"):
         I.apply_error_policies(df, transient, permanent)
+
+
+def test_reconcile_contents(spark):
+    rows = [(k, str(k % 7), None if k % 5 else k) for k in range(300)] + [(1, "1", None)] * 2 + [(None, None, None)]
+    other = [r for r in rows if r[0] != 40] + [(40, None, 40), (1, "1", None), (999, "new", 1)]
+    shape = "id long, v string, n long"
+    want = Counter(rows), Counter(other)
+    for buckets in (1, 16, 4096):
+        found = M.reconcile_contents(spark.createDataFrame(rows, shape), spark.createDataFrame(other, shape), ["id"], buckets)
+        assert {tuple(r) for r in found.collect()} == {(*k, want[0][k], want[1][k]) for k in {*rows, *other} if want[0][k] != want[1][k]}
+    # a null that changes its column, and no rows at all
+    shape = "id long, a string, b string"
+    left, right = spark.createDataFrame([(1, "x", None)], shape), spark.createDataFrame([(1, None, "x")], shape)
+    assert M.reconcile_contents(left, right, ["id"]).count() == 2
+    assert M.reconcile_contents(left, left, ["id"]).count() == M.reconcile_contents(left.limit(0), left.limit(0), ["id"]).count() == 0
