@@ -414,6 +414,41 @@ def percentiles_sketch(t: Tables):
     return M.percentiles_sketch(cents(t), "cents", ["event_type"])
 
 
+# log-linear buckets of 8 bits, spelled in SQL
+BUCKETED = f"""buckets AS (SELECT event_type, CASE WHEN v < 0 THEN -i - 1 ELSE i END AS bucket, count(*) AS count FROM (
+    SELECT event_type, v, s * 128 + (m >> s) AS i FROM (
+        SELECT *, greatest(0, length(bin(m)) - 8) AS s FROM (
+            SELECT event_type, {CENTS} AS v, CASE WHEN {CENTS} < 0 THEN -{CENTS} - 1 ELSE {CENTS} END AS m
+            FROM events WHERE value IS NOT NULL))) GROUP BY ALL)"""
+
+
+def merged_histogram(t: Tables):
+    """Packed histograms of chunks, as they would be stored beside each, merged to those of all rows."""
+    by = ["event_type", "chunk"]
+    chunks = t.events.select("event_type", F.expr("user_id % 8").alias("chunk"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    packed = M.pack_histograms(M.histogram(chunks, "cents", by), by)
+    return M.merge_histograms(M.unpack_histograms(packed, by), ["event_type"])
+
+
+@check("histogram_merge", f"WITH {BUCKETED} SELECT event_type, bucket::BIGINT AS bucket, count FROM buckets")
+def histogram_merge(t: Tables):
+    return merged_histogram(t)
+
+
+# the exact percentile's bucket, and that bucket's greatest number
+@check(
+    "histogram_percentiles",
+    f"""WITH exact AS (UNPIVOT (SELECT event_type, {QUANTILES.format(v=CENTS)} FROM events GROUP BY event_type)
+                       ON {", ".join(M.PERCENTILES)} INTO NAME point VALUE v),
+             sized AS (SELECT *, CASE WHEN v < 0 THEN -v - 1 ELSE v END AS m FROM exact),
+             stepped AS (SELECT *, greatest(0, length(bin(m)) - 8) AS s FROM sized),
+             high AS (SELECT event_type, point, CASE WHEN v < 0 THEN -((m >> s) << s) - 1 ELSE (((m >> s) + 1) << s) - 1 END AS h FROM stepped)
+        SELECT event_type, {", ".join(f"max(h) FILTER (point = '{n}') AS {n}" for n in M.PERCENTILES)} FROM high GROUP BY event_type""",
+)
+def histogram_percentiles(t: Tables):
+    return M.histogram_percentiles(merged_histogram(t), ["event_type"])
+
+
 @check(
     "throughput",
     """SELECT user_id, count(*) / greatest(1.0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0) AS rows_per_second

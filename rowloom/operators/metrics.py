@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.operators.row_index import with_running_total
@@ -46,9 +46,11 @@ def percentiles(
         # Read the input once: the size check and the ranking both use the stored counts.
         counts = reliable_checkpoint(counts)
     running = with_running_total(counts, [*by, "_v"], "_n", "_cum", small)
-    groups = running.groupBy(*by).agg(F.sum("_n").alias("_total"), F.min(F.col("_cum") - F.col("_n")).alias("_base"))
     if by:
-        ranked = join_unique(running, groups, by)
+        running = running.withColumn("_group", F.struct(*by))  # a struct of nulls equals its like, so a group of nulls is joined too
+    groups = running.groupBy(*(["_group"] if by else [])).agg(F.sum("_n").alias("_total"), F.min(F.col("_cum") - F.col("_n")).alias("_base"))
+    if by:
+        ranked = join_unique(running, groups, ["_group"])
     else:
         ranked = running.withColumn("_one", F.lit(1)).join(F.broadcast(groups.withColumn("_one", F.lit(1))), "_one")
     rank = F.col("_cum") - F.col("_base")
@@ -110,3 +112,68 @@ def reconcile_contents(produced: DataFrame, consumed: DataFrame, by: Sequence[st
     both = suspects(produced, (1, 0)).union(suspects(consumed.select(*columns), (0, 1)))
     counts = both.groupBy(*columns).agg(F.sum("_produced").alias("produced"), F.sum("_consumed").alias("consumed"))
     return counts.where("produced <> consumed")
+
+
+def bucket_of(value: Column, bits: int = 8) -> Column:
+    """Number of the log-linear bucket of a whole number: each doubling of the values has 2^(bits-1) buckets of one width.
+
+    Numbers below 2^bits have a bucket of their own, greater ones share it with numbers that
+    differ by less than 2^(1-bits) of their size. Negative numbers mirror the others: -1 goes
+    with 0, -2 with 1. Buckets follow the order of the values. Null has no bucket.
+    """
+    value = value.cast("bigint")
+    size = F.when(value < 0, F.bitwise_not(value)).otherwise(value)
+    shift = F.greatest(F.lit(0), F.length(F.bin(size)) - F.lit(bits))
+    # a shift by a column is a SQL function only
+    index = F.shiftleft(shift.cast("bigint"), bits - 1) + F.call_function("shiftright", size, shift)
+    return F.when(value < 0, F.bitwise_not(index)).otherwise(index)
+
+
+def bucket_bounds(bucket: Column, bits: int = 8) -> tuple[Column, Column]:
+    """The smallest and the greatest whole number of a bucket."""
+    index = F.when(bucket < 0, F.bitwise_not(bucket)).otherwise(bucket)
+    shift = F.greatest(F.lit(0), F.shiftright(index, bits - 1) - F.lit(1)).cast("int")
+    low = F.call_function("shiftleft", index - F.shiftleft(shift.cast("bigint"), bits - 1), shift)
+    high = low + (F.call_function("shiftleft", F.lit(1).cast("bigint"), shift) - F.lit(1))
+    return F.when(bucket < 0, F.bitwise_not(high)).otherwise(low), F.when(bucket < 0, F.bitwise_not(low)).otherwise(high)
+
+
+def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bits: int = 8) -> DataFrame:
+    """(by, bucket, count) of whole numbers in log-linear buckets; nulls are left out.
+
+    A group has at most 2^bits * (65 - bits) buckets however many rows it has, and they are
+    counted before the shuffle. Also for streams, in update or complete mode.
+    """
+    placed = df.where(F.col(value).isNotNull()).select(*by, bucket_of(F.col(value), bits).alias("bucket"))
+    return placed.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("count"))
+
+
+def merge_histograms(histograms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Histograms of parts (chunks, batches, finer groups) as one: equal to the histogram of all their rows."""
+    return histograms.groupBy(*by, "bucket").agg(F.sum("count").alias("count"))
+
+
+def pack_histograms(histograms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row for each group with its ``histogram``, an array of (bucket, count) in order, to be stored beside a chunk."""
+    return histograms.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bucket", "count"))).alias("histogram"))
+
+
+def unpack_histograms(packed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return packed.select(*by, F.inline("histogram"))
+
+
+def histogram_percentiles(
+    histograms: DataFrame, by: Sequence[str] = (), points: Mapping[str, float] | None = None, bits: int = 8
+) -> DataFrame:
+    """Percentiles from a histogram: the greatest number of the bucket that covers the share.
+
+    For numbers from 0 on that is never below the exact percentile, and above it by less than
+    2^(1-bits) of it. No rows, no percentiles: a group without values is missing, and without
+    groups there is one row of nulls. A window holds the buckets of one group, whose number is bounded.
+    """
+    by, points = list(by), points or PERCENTILES
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    placed = histograms.withColumns({"_cum": F.sum("count").over(group.orderBy("bucket")), "_total": F.sum("count").over(group)})
+    high = bucket_bounds(F.col("bucket"), bits)[1]
+    wanted = [F.min(F.when(F.col("_cum") >= F.ceil(F.col("_total") * F.lit(p)), high)).alias(n) for n, p in points.items()]
+    return placed.groupBy(*by).agg(*wanted)

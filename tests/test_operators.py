@@ -67,6 +67,33 @@ def test_percentiles_large_equals_small(spark):
     assert all(0.9 * exact[n] <= coarse[n] <= exact[n] for n in M.PERCENTILES)
 
 
+def test_histogram_buckets(spark):
+    numbers = sorted({s * (x + d) for b in range(63) for x in [1 << b] for d in (-1, 0, 1, x // 3) for s in (1, -1)} | {2**63 - 1, -(2**63)})
+    for bits in (2, 8):
+        low, high = M.bucket_bounds(F.col("bucket"), bits)
+        df = spark.createDataFrame([(x,) for x in numbers], "v long").withColumn("bucket", M.bucket_of(F.col("v"), bits))
+        rows = df.select("v", "bucket", low.alias("low"), high.alias("high")).orderBy("v").collect()
+        assert all(r.low <= r.v <= r.high for r in rows)
+        assert all(a.bucket <= b.bucket and (a.bucket == b.bucket) == (a.low == b.low) for a, b in zip(rows, rows[1:]))
+        assert all(r.high - r.low < max(1, abs(r.v)) * 2.0 ** (1 - bits) for r in rows if r.v >= 0)
+        assert rows[-1].bucket - rows[0].bucket < 2**bits * (65 - bits)
+
+
+def test_histograms_merge_and_bound_percentiles(spark):
+    df = skewed(spark).select("k", (F.col("id") * F.col("id") % 99991).alias("v"), (F.col("id") % 5).alias("chunk"))
+    df = df.union(spark.createDataFrame([(7, None, 0), (None, 5, 1), (501, None, 1)], "k long, v long, chunk long"))
+    for by in ([], ["k"]):
+        packed = M.pack_histograms(M.histogram(df, "v", [*by, "chunk"]), [*by, "chunk"])
+        merged = M.merge_histograms(M.unpack_histograms(packed, [*by, "chunk"]), by)
+        assert same(merged, M.histogram(df, "v", by))
+        found = {tuple(r[:-4]): r[-4:] for r in M.histogram_percentiles(merged, by).collect()}
+        exact = {tuple(r[:-4]): r[-4:] for r in M.percentiles(df, "v", by).collect()}
+        assert found.keys() == exact.keys() and (501,) not in found
+        assert all(x <= y < x + max(1, x / 128) for key in exact for x, y in zip(exact[key], found[key]))
+    assert M.histogram(df.limit(0), "v", ["k"]).count() == 0
+    assert list(M.histogram_percentiles(M.histogram(df.limit(0), "v")).first()) == [None] * 4
+
+
 def test_lookup_one_is_strict(spark):
     df = spark.range(3).select(F.col("id").alias("k"))
     twice = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (2, "d")], "k long, v string")
