@@ -15,14 +15,16 @@ from rowloom.streaming.ingest import read_files, stream_ingest
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 ARRIVAL = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-ORDERS_TEXT = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string"
+ORDERS_TEXT = (
+    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+)
 
 
 def orders_text(t: Tables):
-    return t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
-ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders"
+ORDERS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 PAGES_DDL = "page_id bigint, url string, html string"
 
 # -- text files ----------------------------------------------------------------------
@@ -80,7 +82,7 @@ def parallel_csv(t: Tables):
 
 @check(
     "load_options",
-    "SELECT o_orderkey, o_custkey, o_orderstatus, nullif(o_orderpriority, '5-LOW') AS o_orderpriority FROM orders",
+    "SELECT * REPLACE (nullif(o_orderpriority, '5-LOW') AS o_orderpriority) FROM orders",
 )
 def load_options(t: Tables):
     path = scratch_path(t.spark, "orders")
@@ -131,12 +133,13 @@ def copy_from(t: Tables):
 
 @check(
     "write_avro",
-    "SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus, o_orderpriority FROM orders",
+    "SELECT * REPLACE (o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey) FROM orders",
 )
 def avro(t: Tables):
     path = scratch_path(t.spark, "avro")
     write_avro(orders_text(t).repartition(4), path)
-    return read_avro(t.spark, path, orders_text(t).columns)
+    found = read_avro(t.spark, path, orders_text(t).columns)  # all are text; how a number is spelled is Spark's matter
+    return found.withColumns({"o_totalprice": F.col("o_totalprice").cast("double"), "o_orderdate": F.col("o_orderdate").cast("timestamp_ntz")})
 
 
 @check("write_avro_gzip", "SELECT page_id::VARCHAR AS page_id, url, html FROM pages")
