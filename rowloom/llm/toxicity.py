@@ -8,8 +8,9 @@ scoring needs one number per bucket: the difference of the two logits that it ad
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows_per_label: dict[int, int] | N
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     made = rows.mapInArrow(featurise, "doc_id long, toxic int, ids binary, weights binary")
-    return fit(sorted((r["toxic"], r["doc_id"], r["ids"], r["weights"]) for r in made.toLocalIterator()))
+    return fit(made.select("toxic", "doc_id", "ids", "weights").toLocalIterator())
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -135,17 +136,42 @@ def distinct_words(text: np.ndarray, own: np.ndarray, ids: np.ndarray) -> tuple[
     return text[first], first, 1 + np.log(count)
 
 
-def fit(rows: list[tuple[int, int, bytes, bytes]]) -> ToxicityModel:
-    y = np.array([r[0] for r in rows], dtype=float)
+def gathered(rows: Iterable[tuple[int, int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Label, first and last place of each row (toxic, doc_id, ids, weights) in two flat arrays of its ids and weights.
+
+    Rows come in any order and go by label, id and content. Each is appended to the flat
+    arrays as it arrives, so that the driver holds the sample once.
+    """
+    ids, weights, keys, ends = bytearray(), bytearray(), [], []
+    for toxic, doc, i, w in rows:
+        keys.append((toxic, doc, blake2b(bytes(i) + bytes(w), digest_size=8).digest()))
+        ids += i
+        weights += w
+        ends.append(len(ids) // 4)
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    y, ends = np.array([keys[k][0] for k in order], dtype=float), np.array(ends, np.int64)
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    return y, starts[order], ends[order], np.frombuffer(ids, np.int32), np.frombuffer(weights, np.float32)
+
+
+def fit(rows: Iterable[tuple[int, int, bytes, bytes]]) -> ToxicityModel:
+    y, starts, ends, flat, shares = gathered(rows)
     if len(set(y.tolist())) < 2:
         return ToxicityModel(np.zeros(1 << BUCKETS_LOG2, np.float32), 20.0 if len(y) and y[0] else -20.0)
-    ids = [np.frombuffer(r[2], np.int32) for r in rows]
-    weights = [np.frombuffer(r[3], np.float32) for r in rows]
-    used = np.flatnonzero(np.bincount(np.concatenate(ids), minlength=1 << BUCKETS_LOG2) >= MIN_TEXTS)
+    texts = np.zeros(1 << BUCKETS_LOG2, np.int32)
+    for s, e in zip(starts, ends):
+        texts[flat[s:e]] += 1  # a text's ids are distinct
+    used = np.flatnonzero(texts >= MIN_TEXTS)
     compact = np.full(1 << BUCKETS_LOG2, -1, np.int32)
-    compact[used] = np.arange(len(used))
-    weights = [w[compact[i] >= 0] for i, w in zip(ids, weights)]
-    ids = [compact[i][compact[i] >= 0] for i in ids]
+    compact[used] = np.arange(len(used), dtype=np.int32)
+    # the ids that stay move to the front of their row, in place
+    for k, (s, e) in enumerate(zip(starts, ends)):
+        new = compact[flat[s:e]]
+        held = new >= 0
+        ends[k] = s + held.sum()
+        flat[s:ends[k]], shares[s:ends[k]] = new[held], shares[s:e][held]
+    ids = [flat[s:e] for s, e in zip(starts, ends)]
+    weights = [shares[s:e] for s, e in zip(starts, ends)]
     draw = np.random.default_rng(7)
     vectors = draw.normal(0, 0.1, (len(used), WIDTH))
     softmax = draw.normal(0, 0.1, (WIDTH, 2))

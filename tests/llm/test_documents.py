@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -324,6 +325,27 @@ def brute_lines(texts, errors, similarity):
     return [None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) not in gone) for k, t in enumerate(texts)]
 
 
+def test_toxicity_sample_is_held_once(monkeypatch):
+    """Rows arrive one by one in any order; beside their bytes the fit needs little memory."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "STEPS", 0)
+    monkeypatch.setattr(toxicity, "BATCH", 4)
+    size = 20_000
+
+    def rows(order):
+        for k in order:
+            ids = np.arange(size, dtype=np.int32) * 3 + k
+            yield k % 2, k, ids.tobytes(), np.full(size, (1 + k) / size, np.float32).tobytes()
+
+    tracemalloc.start()
+    model = toxicity.fit(rows(range(300)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 300 * size * 8, peak
+    other = toxicity.fit(rows(random.Random(3).sample(range(300), 300)))
+    assert other.bias == model.bias and (other.effect == model.effect).all()
+
+
 def test_line_dedup(spark):
     draw = random.Random(8)
     pool = [" ".join(draw.choices(WORDS, k=draw.randint(1, 40))) for _ in range(25)]
