@@ -31,6 +31,16 @@ SHINGLES_AT_ONCE = 1 << 16
 FRONTIER = 1 << 20  # node pairs walked at once
 
 
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit set, lowest bit first."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint whose bits are those set in over half of ``n`` hashes."""
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of a whole text; 0 for null or a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -43,10 +53,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(starts), SHINGLES_AT_ONCE):
         part = slice(k, k + SHINGLES_AT_ONCE)
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[part], ends[part])], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<u8")[0])
+        ones += set_bits(np.array([digest(joined[s:e], SEED) for s, e in zip(starts[part], ends[part])], dtype="<u8"))
+    return majority(ones, len(starts))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

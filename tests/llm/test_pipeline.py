@@ -6,6 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 from rowloom.llm import packing, shingle_dedup
+from rowloom.llm.common import banded_links
 
 from .test_documents import WORDS, brute_groups, levenshtein, make
 
@@ -97,3 +98,46 @@ def test_near_copies_by_jaccard_of_shingles(spark):
     kept = corpus_pipeline.drop_near_copies(spark, make(spark, texts), "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     assert shingle_dedup.near_copies(make(spark, texts).limit(0)).count() == 0
+
+
+def test_near_copies_by_simhash_first(spark, monkeypatch):
+    draw = random.Random(9)
+    vocabulary = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = [" ".join(draw.choices(vocabulary, k=1500)) for _ in range(12)]
+    texts += [t + " " + draw.choice(vocabulary) for t in texts] + [None, "", "one", "ONE"]
+    hashed = [shingle_dedup.shingles(t, 5) for t in texts]
+    prints = [sum(1 << b for b in range(64) if sum(int(h) >> b & 1 for h in s) * 2 > len(s)) for s in hashed]
+    assert [shingle_dedup.fingerprint(s) % (1 << 64) for s in hashed] == prints
+    close = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= shingle_dedup.BUDGET
+    want = brute_groups(range(len(texts)), close)
+    assert sum(want[k] == k - 12 for k in range(12, 24)) >= 10
+
+    rows = [(k, shingle_dedup.fingerprint(s)) for k, s in enumerate(hashed)]
+    found = shingle_dedup.simhash_candidates(spark.createDataFrame(rows, "node long, fp long")).collect()
+    pairs = {tuple(sorted(r)) for r in found}
+    assert brute_groups(range(len(texts)), lambda a, b: (a, b) in pairs) == want
+    # these links alone, without the bands of minima, and with them: nodes joined already are not compared again
+    compared = []
+
+    def bands_off(pool, verify, known):
+        compared.append(known.count())
+        return known
+
+    monkeypatch.setattr(shingle_dedup, "banded_links", bands_off)
+    assert {r.doc_id: r.component_id for r in shingle_dedup.near_copies(make(spark, texts)).collect()} == want
+    assert compared[0] >= 10
+
+
+def test_known_links_are_not_compared_again(spark):
+    pool = spark.createDataFrame([(k, [k // 4, 100]) for k in range(12)], "node long, bands array<long>")
+    known = spark.createDataFrame([(0, 1), (1, 2), (8, 9)], "a long, b long")
+    asked = []
+
+    def verify(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.where("floor(a / 4) = floor(b / 4)")
+
+    links = {tuple(sorted(r)) for r in banded_links(pool, verify, known).collect()}
+    groups = brute_groups(range(12), lambda a, b: (a, b) in links)
+    assert groups == {k: k // 4 * 4 for k in range(12)}
+    assert not {(0, 1), (0, 2), (1, 2), (8, 9)} & {tuple(sorted(p)) for p in asked}
