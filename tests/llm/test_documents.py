@@ -6,6 +6,7 @@ import random
 import tracemalloc
 import zlib
 from itertools import combinations
+from random import Random
 
 import numpy as np
 import public_tokenizers
@@ -383,6 +384,35 @@ def test_line_dedup_links_by_edit_similarity_alone(spark):
     assert all(sum(gone[k:k + 40]) >= 36 for k in range(0, 200, 40)), [sum(gone[k:k + 40]) for k in range(0, 200, 40)]
 
 
+def test_line_bands_by_characters_and_only_near_lengths_compared(spark):
+    draw = random.Random(4)
+    alphabets = ["abc ", "aé ", "日本語", "\U0001d4d0\U0001d4d1a "]
+    said = ["".join(draw.choices(a, k=n)).strip() or "x" for a in alphabets for n in (1, 2, 3, 4, 5, 6, 31, 32, 33, 40, 41, 42, 43, 90)]
+    docs = make(spark, said)
+    found = line_dedup.places(docs.select("doc_id", "text")).cache()
+    got = {(r.k1, frozenset(r.bands)) for r in line_dedup.line_bands(found, 0.8, 4).collect()}
+    masks = Random(6)
+    masks = [masks.randrange(-(1 << 31), 1 << 31) for _ in range(64)]
+    grams = lambda n: F.expr(f"transform(sequence(1, greatest(1, length(norm) - {n - 1})), i -> substring(norm, i, {n}))")
+    short = found.where("length(norm) <= 41").select("k1", F.lit(3).alias("n"), F.explode(grams(3)).alias("gram"))
+    long = found.where("length(norm) > 32").select("k1", F.lit(5).alias("n"), F.explode(grams(5)).alias("gram"))
+    least = short.union(long).groupBy("k1", "n").agg(*(F.min(F.hash("gram").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks)))
+    bands = [F.xxhash64("n", F.lit(t), *(f"m{j}" for j in range(4 * t, 4 * t + 4))) for t in range(16)]
+    assert got == {(r.k1, frozenset(r.bands)) for r in least.select("k1", F.array(*bands).alias("bands")).collect()}
+
+    by_line = {r.norm: r.k1 for r in found.collect()}
+    lines = found.select("k1", "size").distinct()
+    order = sorted(by_line, key=len)
+    pairs = spark.createDataFrame([(by_line[order[0]], by_line[order[-1]])], "a long, b long")
+    asked = []
+
+    def norms(needed):
+        asked.append(needed.count())
+        return found.select("k1", "norm").join(needed, "k1", "left_semi").distinct()
+
+    assert line_dedup.verified_links(lines, pairs, norms, 0.8).count() == 0 and asked == [0]
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_edit_similarity_of_lines(spark, similarity):
     draw = random.Random(6)
