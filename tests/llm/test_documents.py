@@ -413,6 +413,73 @@ def test_line_bands_by_characters_and_only_near_lengths_compared(spark):
     assert line_dedup.verified_links(lines, pairs, norms, 0.8).count() == 0 and asked == [0]
 
 
+def test_line_windows_and_where_they_start(spark):
+    draw = random.Random(5)
+    said = [" ".join("".join(draw.choices("abcé\U0001d4d0", k=draw.randint(1, 9))) for _ in range(n)) for n in (1, 2, 5, 20, 60)] + ["ab " * 30 + "ab"]
+    frame = spark.createDataFrame([(x,) for x in said], "norm string")
+    rows = frame.select("norm", line_dedup.line_windows(F.col("norm")).alias("w")).collect()
+    for r in rows:
+        ring = r.norm + " " + r.norm[:line_dedup.WINDOW - 1]
+        starts = [k for k in range(len(r.norm)) if (k == 0 or r.norm[k - 1] == " ") and k + line_dedup.WINDOW <= len(ring)]
+        found = [ring[k:k + line_dedup.WINDOW] for k in starts]
+        hashes = spark.createDataFrame([(k, w) for k, w in zip(starts, found)], "k long, w string").select("k", F.xxhash64("w").alias("h")).collect()
+        once = len(set(found)) == len(found)
+        least = sorted({h.h: h.k for h in hashes}.items())[:line_dedup.WINDOWS]
+        bits = line_dedup.PLACE_BITS
+        assert r.w == [h >> bits << bits | (k if once else line_dedup.NO_PLACE) for h, k in least]
+
+
+def test_lines_with_many_typos_are_found(spark):
+    draw = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = [" ".join("".join(draw.choices(letters, k=draw.randint(3, 9))) for _ in range(n)) for n in (15, 27, 60, 120) for _ in range(40)]
+
+    def typos(line):
+        line = list(line)
+        for at in draw.sample([k for k, c in enumerate(line) if c != " "], len(line) // 10):
+            line[at] = draw.choice(letters)
+        return "".join(line)
+
+    # near copies of null ids as well
+    rows = [(None if k % 2 else k, t, "en", 1) for k, t in enumerate(base)] + [(1000 + k, typos(t), "en", 1) for k, t in enumerate(base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source long")
+    kept = {r.text for r in line_dedup.drop_repeated_lines(docs).collect()}
+    assert set(base) <= kept
+    gone = [r[1] not in kept for r in rows[len(base):]]
+    assert all(sum(gone[k:k + 40]) >= 26 for k in range(0, 160, 40)), [sum(gone[k:k + 40]) for k in range(0, 160, 40)]
+
+
+def test_unlike_lines_that_share_a_phrase(spark, monkeypatch):
+    draw = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def words(n):
+        return ["".join(draw.choices(letters, k=draw.randint(3, 9))) for _ in range(n)]
+
+    phrase = words(8)
+    base = []
+    for _ in range(90):
+        line = words(20)
+        at = draw.randrange(21)
+        base.append(line[:at] + phrase + line[at:])
+    copies = [[w if draw.random() > 0.05 else words(1)[0] for w in line] for line in base[:40]]
+    texts = [" ".join(x) for x in base + copies]
+    asked = []
+    real = line_dedup.similar_pairs
+
+    def counted(pairs, *more):
+        asked.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(line_dedup, "similar_pairs", counted)
+    kept = [r.text for r in line_dedup.drop_repeated_lines(make(spark, texts)).orderBy("doc_id").collect()]
+    close = lambda a, b: levenshtein(texts[a], texts[b]) <= math.floor(max(len(texts[a]), len(texts[b])) * 0.2 + 1e-9)
+    assert kept == [t if k < 90 or not close(k, k - 90) else "" for k, t in enumerate(texts)]
+    assert kept[90:].count("") >= 36
+    # far fewer than the pairs of lines with the phrase
+    assert sum(asked) < 130 * 129 // 2 // 10, asked
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_edit_similarity_of_lines(spark, similarity):
     draw = random.Random(6)
