@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowloom.session import freed_shuffles
+
 SKETCH_LOG = 12  # sketches of 4096 registers
 SKETCH_ERROR = 0.017  # their relative standard deviation
 MARGIN = 1 + 10 * SKETCH_ERROR  # a sketch further off than this is not expected
-AT_ONCE = 32  # column combinations looked at in one pass
+AT_ONCE = 8  # column combinations looked at in one pass; with more, Spark no longer compiles the pass as one
 SAMPLE_PARTS = 64
+PASS_ROWS = 1 << 25  # digests shuffled in one pass, if one combination does not have more alone
 
 
 def _digest(columns: Sequence[str]) -> list[Column]:
@@ -23,18 +26,34 @@ def _digest(columns: Sequence[str]) -> list[Column]:
     return [F.xxhash64(F.lit(salt), *named) for salt in ("low", "high")]
 
 
-def _repeated(df: DataFrame, candidates: Sequence[tuple[str, ...]], parts: int) -> set[tuple[str, ...]]:
-    """Candidates with two rows of the same values, among one in ``parts`` of the values.
+def _passes(candidates: Sequence[tuple[str, ...]], rows: int) -> list[Sequence[tuple[str, ...]]]:
+    """The candidates dealt to passes that shuffle about ``rows`` digests for each of them."""
+    n = max(1, min(AT_ONCE, PASS_ROWS // max(1, rows)))
+    return [candidates[at:at + n] for at in range(0, len(candidates), n)]
+
+
+def _fewer_digests(df: DataFrame, candidates: Sequence[tuple[str, ...]], rows: int) -> list[tuple[str, ...]]:
+    """Candidates with fewer 64-bit digests than there are rows: all with two rows of the same values, and one in which digests meet by chance."""
+    found = []
+    for some in _passes(candidates, rows):
+        digests = F.array(*[F.struct(F.lit(n).alias("n"), _digest(c)[0].alias("low")) for n, c in enumerate(some)])
+        counts = {r["n"]: r["count"] for r in df.select(F.inline(digests)).distinct().groupBy("n").count().collect()}
+        found += [c for n, c in enumerate(some) if counts.get(n, 0) < rows]
+    return found
+
+
+def _repeated(df: DataFrame, candidates: Sequence[tuple[str, ...]], parts: int, rows: int) -> set[tuple[str, ...]]:
+    """Candidates with two rows of the same values, among one in ``parts`` of the values of the ``rows`` rows.
 
     Rows are taken by a hash of the candidate's own values, so two equal rows are taken both or
-    neither. All candidates share one pass and one shuffle of digests.
+    neither. The candidates of a pass share one shuffle of digests.
     """
     found = set()
-    for at in range(0, len(candidates), AT_ONCE):
-        some = candidates[at:at + AT_ONCE]
-        digests = F.array(*[F.struct(F.lit(n).alias("n"), *[h.alias(name) for name, h in zip(("low", "high"), _digest(c))]) for n, c in enumerate(some)])
-        rows = df.select(F.inline(digests)).where(F.pmod("low", F.lit(parts)) == 0)
-        twice = rows.groupBy("n", "low", "high").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("n").distinct()
+    for some in _passes(candidates, rows // parts):
+        # what is not taken is left before the second half of its digest is made
+        digests = [F.when(F.pmod(low, F.lit(parts)) == 0, F.struct(F.lit(n).alias("n"), low.alias("low"), high.alias("high"))) for n, (low, high) in enumerate(map(_digest, some))]
+        taken = df.select(F.inline(F.array(*digests))).where("n is not null")
+        twice = taken.groupBy("n", "low", "high").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("n").distinct()
         found |= {some[r["n"]] for r in twice.collect()}
     return found
 
@@ -44,10 +63,16 @@ def discover_unique_keys(df: DataFrame, most: int = 3, columns: Sequence[str] |
 
     The lattice is searched level by level. No superset of a key is looked at; a combination
     whose columns have too few values together, by sketches, is left out before it is counted
-    at all, and of the rest those that a sketch of the combination itself rules out. What is
-    left is first held against a part of the values, then against all rows. A table without
+    at all. What is left is first held against a part of the values, then against all rows: by
+    digests of 64 bits, and of 128 where these are fewer than the rows. A pass shuffles PASS_ROWS
+    digests or those of one combination, and its shuffle files go when it ends. A table without
     rows has every column without nulls as a key. Complex columns take no part.
     """
+    with freed_shuffles(df.sparkSession):
+        return _unique_keys(df, most, columns)
+
+
+def _unique_keys(df: DataFrame, most: int, columns: Sequence[str] | None) -> list[tuple[str, ...]]:
     simple = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
     columns = [c for c in (columns or simple) if c in simple]
     if not columns:
@@ -64,22 +89,15 @@ def discover_unique_keys(df: DataFrame, most: int = 3, columns: Sequence[str] |
     for size in range(1, most + 1):
         level = [c for c in combinations(whole, size) if not any(set(k) <= set(c) for k in keys)]
         level = [c for c in level if reduce(lambda n, k: n * max(1, distinct[k]) * MARGIN, c, 1.0) >= rows]
-        if size > 1:
-            level = [c for at in range(0, len(level), AT_ONCE) for c in _dense(df, columns, level[at:at + AT_ONCE], rows, sketch)]
         named = {tuple(columns[k] for k in c): c for c in level}
-        for parts in (SAMPLE_PARTS, 1):
-            for refuted in _repeated(df, list(named), parts):
-                del named[refuted]
+        for refuted in _repeated(df, list(named), SAMPLE_PARTS, rows):
+            del named[refuted]
+        for refuted in _repeated(df, _fewer_digests(df, list(named), rows), 1, rows):
+            del named[refuted]
         keys += named.values()
     return [tuple(columns[k] for k in key) for key in keys]
 
 
-def _dense(df: DataFrame, columns: Sequence[str], level: Sequence[tuple[int, ...]], rows: int, sketch) -> list[tuple[int, ...]]:
-    """The combinations that may have as many values as there are rows."""
-    counts = df.agg(*[sketch(*[columns[k] for k in c]).alias(str(n)) for n, c in enumerate(level)]).first()
-    return [c for n, c in enumerate(level) if counts[n] * MARGIN >= rows]
-
-
 # -- references ------------------------------------------------------------------------------
 
 

@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from rowloom.plans import discover
 
 
@@ -32,6 +34,35 @@ def test_unique_keys(spark):
     assert discover.discover_unique_keys(one) == [("id",)]
 
 
+def test_unique_keys_shuffle_few_digests_at_once(spark, monkeypatch):
+    rows = [(k // 50, k % 50, k // 20, k % 20, k, k % 7, None if k else 1) for k in range(1000)]
+    frame = spark.createDataFrame(rows, "a int, b int, c int, d int, e int, f int, g int").where("e >= 0")
+    stored = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum("shuffle" in stored.getAllFiles().apply(k).getName() for k in range(stored.getAllFiles().size()))
+    whole = []
+    real = discover._passes
+
+    def counted(candidates, n):
+        passes = real(candidates, n)
+        whole.extend(len(c) for c in passes if n >= 1000)
+        return passes
+
+    want = [tuple(frame.columns[k] for k in c) for c in brute_keys(rows, 7)]
+    assert ("e",) in want and len(want) > 2
+    monkeypatch.setattr(discover, "_passes", counted)
+    before = shuffles()
+    assert discover.discover_unique_keys(frame) == want and max(whole) > 2
+    assert shuffles() <= before  # none stays
+    whole.clear()
+    monkeypatch.setattr(discover, "PASS_ROWS", 2500)
+    assert discover.discover_unique_keys(frame) == want and max(whole) == 2
+    # digests that meet by chance do not refute a key
+    digest = discover._digest
+    monkeypatch.setattr(discover, "_digest", lambda c: [F.pmod(digest(c)[0], F.lit(100_000)), digest(c)[1]])
+    assert discover._fewer_digests(frame, [("e",)], 1000) == [("e",)]
+    assert discover.discover_unique_keys(frame.select("e"), 1) == [("e",)]
+
+
 def test_references(spark):
     draw = random.Random(7)
     tables = {
