@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import tracemalloc
 import zlib
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rowloom.llm import language_id, line_dedup, mixing, packing, simhash_dedup, syncmers, token_counts, tokens, toxicity
-from rowloom.llm.common import held_out, linked_groups
+from rowloom.llm.common import discard, held_out, keep, linked_groups
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, tokens string, fp string, id string, component_id int"
 WORDS = "alpha beta gamma delta rho sigma tau upsilon phi chi psi omega".split()
@@ -480,6 +481,46 @@ def test_unlike_lines_that_share_a_phrase(spark, monkeypatch):
     assert sum(asked) < 130 * 129 // 2 // 10, asked
 
 
+def test_lines_of_a_crowd_are_all_compared(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    draw = random.Random(37)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def words(n):
+        return ["".join(draw.choices(letters, k=draw.randint(3, 9))) for _ in range(n)]
+
+    # each copy differs by many typos, so most share nothing but the phrase, as all lines do
+    phrase = " ".join(words(4))
+    rest = [" ".join(words(20)) for _ in range(45)]
+
+    def typos(line):
+        line = list(line)
+        for at in draw.sample([k for k, c in enumerate(line) if c != " "], len(line) // 5):
+            line[at] = draw.choice(letters)
+        return "".join(line)
+
+    texts = [f"{phrase} {x}" for x in rest] + [f"{phrase} {typos(x)}" for x in rest]
+    frame = spark.createDataFrame(enumerate(texts), "id int, norm string").select("id", line_dedup.line_windows(F.col("norm")).alias("w"))
+    windows = {r.id: {h >> line_dedup.PLACE_BITS: h % (1 << line_dedup.PLACE_BITS) for h in r.w} for r in frame.collect()}
+
+    def close(a, b):
+        most = math.floor(max(len(texts[a]), len(texts[b])) * 0.2 + 1e-9)
+        apart = [abs(windows[a][h] - windows[b][h]) + abs(len(texts[a]) - windows[a][h] - len(texts[b]) + windows[b][h]) for h in windows[a].keys() & windows[b].keys()]
+        return bool(apart) and min(apart) <= most and levenshtein(texts[a], texts[b]) <= most
+
+    groups = brute_groups(range(len(texts)), close)
+    assert sum(groups[k] < k for k in range(45, 90)) >= 36
+    kept = [r.text for r in line_dedup.drop_repeated_lines(make(spark, texts)).orderBy("doc_id").collect()]
+    assert kept == [t if groups[k] == k else "" for k, t in enumerate(texts)]
+
+
+def test_stored_steps_go_when_they_are_read(spark, tmp_path):
+    stored = keep(spark.range(5), "step")
+    assert len(stored.inputFiles()) > 0 and os.path.exists(stored.kept_at.removeprefix("file:"))
+    discard(stored, spark.range(2))
+    assert not os.path.exists(stored.kept_at.removeprefix("file:"))
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_edit_similarity_of_lines(spark, similarity):
     draw = random.Random(6)
